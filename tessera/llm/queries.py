@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import feistel, hyperminhash, mixing, rule_ledger, token_counts, url_filter, wfst
+from tessera.llm import ctph, feistel, hyperminhash, line_templates, mixing, ri_classifier, rule_ledger, token_counts, url_filter, wfst
 from tessera.llm.common import table
 
 
@@ -27,6 +27,11 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict", "pattern")
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_templates.drop_recurring(docs)
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "epochs", "sampled")
@@ -37,6 +42,10 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "number")
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctph.fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     judged = rule_ledger.ledger(docs)
@@ -50,6 +59,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ri_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
@@ -58,4 +71,4 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hyperminhash.near_duplicates(table(spark, sf_dir, "documents"), size=4, percent=80)
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_url_filter, op4_mixing, op5_sharding, op7_quality_rules, op9_token_counts, op10_minhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_url_filter, op3_line_dedup, op4_mixing, op5_sharding, op6_fingerprints, op7_quality_rules, op8_quality_classifier, op9_token_counts, op10_minhash_near_dedup)}
