@@ -46,6 +46,8 @@ BANDS = REGISTERS // ROWS
 SMALL = 64
 LEVELS = 3
 SIGMAS = 5.0
+#: Two longs a row: at most 16 MB are broadcast.
+BROADCAST_ROWS = 1_000_000
 
 _ORDER = np.argsort(np.random.Generator(np.random.PCG64(11)).random((REGISTERS, REGISTERS)), axis=1).astype(np.int16)
 _RANK = np.argsort(_ORDER, axis=1).astype(np.int16)
@@ -220,7 +222,9 @@ class _Search:
                 # rows that share an id need not share a text
                 yield out.filter(pa.array(np.asarray(named) == part.column(1).to_numpy()))
 
-        where = self.nodes.join(wanted.select("node").distinct(), "node", "left_semi").select("fetch", "node")
+        where = materialise(self.nodes.join(wanted.select("node").distinct(), "node", "left_semi").select("fetch", "node"))
+        if where.count() <= BROADCAST_ROWS:  # else a shuffled join
+            where = F.broadcast(where)
         texts = self.docs.select("fetch", "text").join(where, "fetch").select("text", "node")
         return texts.mapInArrow(run, "node long, hashes binary")
 
@@ -258,7 +262,7 @@ class _Search:
     def resolve(self, members: DataFrame, level: int = 1) -> None:
         """Find the links within buckets; members: (bucket, node)."""
         heads = members.groupBy("bucket").agg(F.min("node").alias("head"), F.count("*").alias("n")).filter("n > 1")
-        found = members.join(heads, "bucket")
+        found = materialise(members.join(heads, "bucket"))
         self.check(found.filter("node <> head").select(F.col("head").alias("u"), F.col("node").alias("v")).distinct())
         # two of a bucket's nodes are its head and one that was compared with it
         left = found.filter("n > 2").select("bucket", "node", "n", "head")
@@ -304,3 +308,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     out = keyed.join(lead, "group", "left")
     component = F.coalesce("lead", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
+    """docs less those whose component has a lesser id. Rows without an id stay."""
+    doomed = materialise(near_duplicates(docs, id_col, text, size, percent).filter("not kept").select(F.col("doc_id").alias(id_col)).distinct())
+    if doomed.count() <= BROADCAST_ROWS:  # else a shuffled join
+        doomed = F.broadcast(doomed)
+    return docs.join(doomed, id_col, "left_anti")
