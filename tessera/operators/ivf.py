@@ -347,6 +347,10 @@ class IvfIndex:
     def reset(self) -> IvfIndex:
         return replace(self, rows=None)
 
+    def subset_of(self, rows: DataFrame) -> IvfIndex:
+        """An index of these rows, which were placed by its centroids."""
+        return self._changed(rows)
+
     def _changed(self, rows: DataFrame) -> IvfIndex:
         out = replace(self, rows=rows)
         return out.with_neighbours() if self.opt & (SUBNN_L2 | SUBNN_IP) else out
