@@ -1,0 +1,67 @@
+"""From raw documents to token ids: quality rules, line dedup, near-dedup, mixing, SentencePiece.
+
+Each stage works on all that its predecessor kept and returns the columns of documents, the last
+one token ids. run() writes every stage to the folder that spark.checkpoint.dir names and reads it
+again, so a lost executor costs no more than a stage's task.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.llm import hyperminhash, line_templates, mixing, rule_ledger, wfst
+from tessera.llm.common import shared_folder, table
+from tessera.llm.queries import vocabulary
+
+#: SQL has neither the template tree nor the tokenizer.
+ORACLE_SQL = None
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail a rule of policy web.v2 go."""
+    judged = rule_ledger.ledger(docs)
+    return judged.filter(rule_ledger.apply_policy(judged, "web.v2")).select(*docs.columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines of recurring templates go, and documents of which no word is left by that."""
+    less = line_templates.drop_recurring(docs)
+    empty = F.length(F.trim(F.regexp_replace("text", r"[\x09-\x0D]", " "))) == 0
+    less = less.filter((F.col("n_dropped") == 0) | ~empty)
+    return less.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies (five-word shingles, similarity 0.8) the least id stays."""
+    return hyperminhash.drop_near_duplicates(docs, size=5, percent=80).select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as their source's target takes them."""
+    return mixing.mixed_documents(docs).select(*docs.columns)
+
+
+def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, ids, n_tokens, n_byte_tokens, round_trip."""
+    return wfst.encode(docs, vocabulary("piece_bpe_32k.model"))
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
+    ("mixing", mix_sources),
+    ("sentencepiece", sentencepiece),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    top = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    for name, stage in STAGES:
+        stage(spark, docs, sf_dir).write.parquet(f"{top}/{name}")
+        docs = spark.read.parquet(f"{top}/{name}")
+    return docs

@@ -27,15 +27,19 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), BLANKS), lambda w: w != "")
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """df as written to the reliable checkpoint folder, so that lost executors cost no recomputation.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: the cluster's spark.checkpoint.dir.
 
-    The folder is the cluster's spark.checkpoint.dir; a session without one (a test) gets a
-    temporary folder.
+    A session without one (a test on one machine) gets a temporary folder.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None)
     if context.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix=f"checkpoint-{os.getpid()}-"))
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix=f"checkpoint-{os.getpid()}-"))
+    return named or context.getCheckpointDir()
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """df as written to the shared folder, so that lost executors cost no recomputation."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -60,67 +60,89 @@ def targets(sizes: list[tuple[str | None, int]], weights=WEIGHTS, share: float =
     return found
 
 
-def mix(
-    docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = SEED, weight: Column | None = None
-) -> DataFrame:
-    """One row a document: doc_id, size, source, source_size, target, weight, epochs (complete
-    ones), sampled (in the fractional selection), taken (words, repeats counted)."""
-    weight = quality_weight(F.col(text)) if weight is None else weight
-    narrow = docs.select(
-        F.col(id_col).alias("doc_id"),
-        F.size(words(F.col(text))).cast("long").alias("size"),
-        F.col(source).alias("source"),
+def _narrow(docs: DataFrame, id_col: str, text: str, source: str, weight: Column | None, seed: int) -> DataFrame:
+    """docs, each row in a struct `doc`, with what its decision rests on."""
+    row = docs.select(F.struct("*").alias("doc"))
+    body = F.col("doc").getField(text)
+    weight = quality_weight(body) if weight is None else weight
+    draw = F.xxhash64(F.lit(seed), F.col("doc").getField(id_col), F.coalesce(body, F.lit("")))
+    row = row.select(
+        "doc",
+        F.col("doc").getField(id_col).alias("doc_id"),
+        F.size(words(body)).cast("long").alias("size"),
+        F.col("doc").getField(source).alias("source"),
         weight.cast("double").alias("weight"),
-        F.xxhash64(F.lit(seed), F.col(id_col), F.coalesce(text, F.lit(""))).alias("draw"),
+        draw.alias("draw"),
     )
-    # u in (0, 1); u ** (1 / weight) orders as the exponential key does, reversed, and stays in (0, 1)
+    # u in (0, 1); 1 - u ** (1 / weight) orders as the exponential key does and stays in (0, 1)
     u = (F.shiftrightunsigned("draw", 11).cast("double") + 0.5) / F.lit(float(1 << 53))
-    narrow = narrow.withColumn("place", 1 - F.pow(u, 1 / F.col("weight")))
-    narrow = materialise(narrow)
-    # one row a source
+    return row.withColumn("place", 1 - F.pow(u, 1 / F.col("weight")))
+
+
+_ORDER = ("place", "doc_id", "size", "draw")
+
+
+def _plan(narrow: DataFrame, weights, share: float, most: float) -> DataFrame:
+    """One row a source: source_size, target, epochs and cut, the last document sampled (null: none)."""
+    spark = narrow.sparkSession
     sums = [(r["source"], r["size"], r["n"]) for r in narrow.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()]
     aims = targets([(name, size) for name, size, _ in sums], weights, share, most)
-    spark = docs.sparkSession
     plan = spark.createDataFrame(
         [(name, size, aims[name], *_epochs(aims[name], size), max(1, n // CELL_ROWS)) for name, size, n in sums],
         "name string, source_size long, target double, epochs int, rest double, cells long",
     )
-    plan = F.broadcast(plan)  # a row a source, as collected above
-    at = narrow.join(plan, F.col("source").eqNullSafe(F.col("name"))).drop("name")
+    same = F.col("source").eqNullSafe(F.col("name"))
+    at = narrow.join(F.broadcast(plan), same).filter("rest > 0")
     at = at.withColumn("cell", F.least(F.floor(F.col("place") * F.col("cells")), F.col("cells") - 1))
     cells = at.groupBy("source", "cell", "rest").agg(F.sum("size").alias("in_cell"))
     before = Window.partitionBy("source").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.withColumn("below", F.coalesce(F.sum("in_cell").over(before), F.lit(0)))
-    # the cell in which each source's running sum passes the rest: one row a source
+    # the cell in which each source's running sum passes the rest
     crossing = cells.filter((F.col("below") < F.col("rest")) & (F.col("below") + F.col("in_cell") >= F.col("rest")))
-    crossing = crossing.select(F.col("source").alias("name"), F.col("cell").alias("crossing"), "below")
-    at = at.join(F.broadcast(crossing), F.col("source").eqNullSafe(F.col("name")), "left").drop("name")
-    out = at.filter(F.coalesce(F.col("cell") != F.col("crossing"), F.lit(True)))
-    out = out.withColumn("sampled", (F.col("rest") > 0) & F.coalesce(F.col("cell") < F.col("crossing"), F.lit(True)))
-    inside = at.filter(F.col("cell") == F.col("crossing"))
-    running = Window.partitionBy("source").orderBy("place", "doc_id", "size", "draw").rowsBetween(Window.unboundedPreceding, 0)
+    crossing = crossing.select(F.col("source").alias("crossed"), F.col("cell").alias("crossing"), "below")
+    inside = at.join(F.broadcast(crossing), F.col("source").eqNullSafe(F.col("crossed")) & (F.col("cell") == F.col("crossing")))
+    running = Window.partitionBy("source").orderBy(*_ORDER).rowsBetween(Window.unboundedPreceding, 0)
     inside = inside.withColumn("sum", F.col("below") + F.sum("size").over(running))
     # the document that crosses is taken if that comes nearer
-    inside = inside.withColumn("sampled", F.col("sum") - F.col("size") / 2 <= F.col("rest")).drop("sum")
-    both = out.unionByName(inside)
-    return both.select(
-        "doc_id", "size", "source", "source_size", "target", "weight", "epochs", "sampled",
-        (F.col("size") * (F.col("epochs") + F.col("sampled").cast("int"))).alias("taken"),
-    )
+    taken = inside.filter(F.col("sum") - F.col("size") / 2 <= F.col("rest"))
+    last = taken.groupBy("source").agg(F.max(F.struct(*_ORDER)).alias("last"))
+    # if a cell's first document stays out, the cut is the cell's lower edge
+    edge = crossing.join(last, F.col("crossed").eqNullSafe(F.col("source")), "left").select("crossed", "crossing", "last")
+    return plan.join(edge, F.col("name").eqNullSafe(F.col("crossed")), "left").drop("crossed", "rest")
 
 
-def _epochs(target: float, size: int) -> tuple[int, float]:
-    epochs = int(target // size) if size else 0
-    return epochs, max(0.0, target - epochs * size)
+def _decided(narrow: DataFrame, plan: DataFrame) -> DataFrame:
+    at = narrow.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("name"))).drop("name")
+    cell = F.least(F.floor(F.col("place") * F.col("cells")), F.col("cells") - 1)
+    within = F.coalesce(F.struct(*_ORDER) <= F.col("last"), F.lit(False))
+    sampled = F.coalesce((cell < F.col("crossing")) | ((cell == F.col("crossing")) & within), F.lit(False))
+    return at.withColumn("sampled", sampled).withColumn("copies", F.col("epochs") + F.col("sampled").cast("int"))
 
 
-def mixed_documents(docs: DataFrame, **how) -> DataFrame:
-    """docs as the mix has them: each document as often as it is taken, its columns unchanged.
+def mix(
+    docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = SEED, weight: Column | None = None
+) -> DataFrame:
+    """One row a document: doc_id, size, source, source_size, target, weight, epochs (complete
+    ones), sampled (in the fractional selection), taken (words, repeats counted)."""
+    narrow = materialise(_narrow(docs, id_col, text, source, weight, seed).drop("doc"))
+    decided = _decided(narrow, _plan(narrow, weights, share, most))
+    return decided.select("doc_id", "size", "source", "source_size", "target", "weight", "epochs", "sampled", (F.col("size") * F.col("copies")).alias("taken"))
 
-    Documents of equal id and text are one draw. Those with a null id are drawn like others.
+
+def mixed_documents(
+    docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = SEED, weight: Column | None = None
+) -> DataFrame:
+    """docs as the mix has them: each row as often as it is taken, its columns unchanged.
+
+    A row's part in the mix follows from its own columns and its source's plan, so texts stay where
+    they are.
     """
-    copies = mix(docs, **how).select("doc_id", "source", (F.col("epochs") + F.col("sampled").cast("int")).alias("copies"))
-    copies = copies.groupBy("doc_id", "source").agg(F.max("copies").alias("copies"))
-    left = docs.select(F.struct("*").alias("doc"))
-    joined = left.join(copies, F.col("doc.doc_id").eqNullSafe(F.col("doc_id")) & F.col("doc.source").eqNullSafe(F.col("source")))
-    return joined.select("doc", F.explode(F.array_repeat(F.lit(1), F.col("copies"))).alias("copy")).select("doc.*")
+    full = _narrow(docs, id_col, text, source, weight, seed)
+    plan = _plan(materialise(full.drop("doc")), weights, share, most)
+    decided = _decided(full, plan)
+    return decided.select("doc", F.explode(F.array_repeat(F.lit(1), F.col("copies"))).alias("copy")).select("doc.*")
+
+
+def _epochs(target: float, size: int) -> tuple[int, float]:
+    epochs = int(target // size) if size else 0
+    return epochs, max(0.0, target - epochs * size)
