@@ -41,9 +41,10 @@ def duck(small):
 def canonical(frame) -> list[tuple]:
     """Rows of a pandas frame in a form that compares across engines."""
     import numpy as np
+    import pandas
 
     def one(v):
-        if v is None or isinstance(v, float) and v != v:
+        if v is None or v is pandas.NA or isinstance(v, float) and v != v:
             return "null"
         if isinstance(v, bool | np.bool_):
             return str(bool(v))
