@@ -108,3 +108,28 @@ def hashed_search(queries: DataFrame, base: DataFrame, k: int, bits: int, flips:
     q = q.select("qid", "words", "t", F.explode(F.array(*[F.col("key").bitwiseXOR(F.lit(m).cast("long")) for m in masks])).alias("key"))
     met = q.join(b, ["t", "key"]).select("qid", "vec_id", V.hamming(F.col("words"), F.col("w")).cast("long").alias("distance")).distinct()
     return top_k(met, k).select("qid", "rank", "vec_id", "distance")
+
+
+def assign(base: DataFrame, centroids: DataFrame) -> DataFrame:
+    """vec_id, words, list_id: the nearest of a small table of bit centroids (list_id, words), ties
+    to the lesser list."""
+    rows = sorted((r["list_id"], r["words"]) for r in centroids.select("list_id", "words").limit(BLOCK_ROWS).collect())
+    shared = base.sparkSession.sparkContext.broadcast((np.array([r[0] for r in rows], dtype=np.int32), np.array([r[1] for r in rows], dtype=np.int64)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lists, c = shared.value
+        for whole in batches:
+            for at in range(0, whole.num_rows, STEP):
+                part = whole.slice(at, STEP)
+                near = _hamming(matrix(part.column(1)).astype(np.int64), c).argmin(axis=1)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(lists[near])], names=["vec_id", "words", "list_id"])
+
+    return base.select("vec_id", "words").mapInArrow(run, "vec_id long, words array<long>, list_id int")
+
+
+def ivf_knn(queries: DataFrame, assigned: DataFrame, centroids: DataFrame, k: int, nprobe: int) -> DataFrame:
+    """qid, rank, vec_id, distance among each query's nprobe nearest lists."""
+    probes = knn(queries, centroids.select(F.col("list_id").cast("long").alias("vec_id"), "words"), nprobe)
+    wanted = queries.select("qid", F.col("words").alias("q")).join(probes.select("qid", F.col("vec_id").cast("int").alias("list_id")), "qid")
+    met = wanted.join(assigned, "list_id").select("qid", "vec_id", V.hamming(F.col("q"), F.col("words")).cast("long").alias("distance"))
+    return top_k(met, k).select("qid", "rank", "vec_id", "distance")

@@ -365,3 +365,67 @@ def rowwise_decoded(code: Column, bits: int = 8) -> Column:
     low, span, codes = (code.getField(x) for x in ("low", "span", "codes"))
     zipped = F.arrays_zip(codes.alias("c"), F.array_repeat(low, F.size(codes)).alias("a"), F.array_repeat(span, F.size(codes)).alias("s"))
     return F.transform(zipped, lambda z: z["a"] + z["c"] / steps * z["s"])
+
+
+@dataclass
+class Refined(Quantizer):
+    """Codes, and codes of what they leave."""
+
+    coarse: Quantizer
+    fine: Quantizer
+    width: int
+
+    @staticmethod
+    def train(x: np.ndarray, coarse: Quantizer, m: int, bits: int = 8) -> Refined:
+        codes = coarse.encode(x)
+        return Refined(coarse, ProductQuantizer.train(x - coarse.decode(codes), m, bits), codes.shape[1])
+
+    def encode(self, x: np.ndarray) -> np.ndarray:
+        codes = self.coarse.encode(x)
+        return np.concatenate([codes, self.fine.encode(x - self.coarse.decode(codes))], axis=1)
+
+    def decode(self, codes: np.ndarray) -> np.ndarray:
+        return self.coarse.decode(codes[:, : self.width]) + self.fine.decode(codes[:, self.width :])
+
+
+@dataclass
+class SpectralHash(Quantizer):
+    """Bits of which half-period of each rotated component a vector lies in."""
+
+    axes: np.ndarray
+    centre: np.ndarray
+    period: float
+
+    @staticmethod
+    def train(x: np.ndarray, bits: int, period: float) -> SpectralHash:
+        _, axes = np.linalg.eigh(np.cov(x.T))
+        axes = axes[:, ::-1][:, :bits]
+        return SpectralHash(axes, np.median(x @ axes, axis=0), period)
+
+    def encode(self, x: np.ndarray) -> np.ndarray:
+        return np.floor((x @ self.axes - self.centre) / self.period).astype(np.int64) & 1
+
+    def distances(self, q: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        return (self.encode(q)[:, None, :] != codes[None]).sum(axis=2).astype(float)
+
+
+@dataclass
+class IndependentLists(Quantizer):
+    """Lists chosen in one space (a linear map of the vectors), codes kept in another."""
+
+    a: np.ndarray
+    centroids: np.ndarray
+    code: Quantizer
+
+    @staticmethod
+    def train(x: np.ndarray, a: np.ndarray, nlist: int, m: int, bits: int = 8) -> IndependentLists:
+        return IndependentLists(a, lloyd(x @ a.T, nlist), ProductQuantizer.train(x, m, bits))
+
+    def encode(self, x: np.ndarray) -> np.ndarray:
+        return np.concatenate([KERNELS["l2"](x @ self.a.T, self.centroids).argmin(axis=1)[:, None], self.code.encode(x)], axis=1)
+
+    def decode(self, codes: np.ndarray) -> np.ndarray:
+        return self.code.decode(codes[:, 1:])
+
+    def distances(self, q: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        return self.code.distances(q, codes[:, 1:])

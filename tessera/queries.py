@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import vectors as V
 from tessera.functions.vectors import METRICS
-from tessera.operators import binary, evaluate, flat, kmeans, maintain, quantize, select, topk, transform
+from tessera.operators import binary, evaluate, flat, graph, kmeans, maintain, multi, quantize, select, topk, transform
 from tessera.operators.ivf import SUBNN_IP, SUBNN_L2, TRI, IvfIndex
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -693,6 +693,57 @@ def generalised_hamming(spark, sf):
     return a.join(b, "i").select("i", V.generalised_hamming(F.col("a"), F.col("b")).alias("differ"))
 
 
+_BITC = """SELECT label AS list_id, list(CASE WHEN 2 * ones >= n THEN 1.0 ELSE -1.0 END ORDER BY pos) AS embedding FROM (SELECT label, pos, sum(CASE WHEN v >= 0 THEN 1 ELSE 0 END) AS ones, count(*) AS n FROM
+(SELECT label, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS pos FROM embeddings) GROUP BY label, pos) GROUP BY label"""
+_DIFFER = lambda a, b: f"list_sum(list_transform(list_zip({a}, {b}), lambda z: CASE WHEN (z[1] >= 0) <> (z[2] >= 0) THEN 1 ELSE 0 END))::BIGINT"
+
+
+@_register(_top(f"""SELECT p.qid, a.vec_id, {_DIFFER('p.e', 'a.e')} AS distance FROM
+(SELECT * FROM (SELECT q.vec_id AS qid, q.embedding AS e, c.list_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_DIFFER('q.embedding', 'c.embedding')}, c.list_id) AS n FROM embeddings q, ({_BITC}) c WHERE q.vec_id % 20 = 0) WHERE n <= 3) p JOIN
+(SELECT * FROM (SELECT b.vec_id, b.embedding AS e, c.list_id, row_number() OVER (PARTITION BY b.vec_id ORDER BY {_DIFFER('b.embedding', 'c.embedding')}, c.list_id) AS n FROM embeddings b, ({_BITC}) c) WHERE n = 1) a USING (list_id)""", K))
+def binary_ivf(spark, sf):
+    bits = base(spark, sf).select("label", F.posexplode("embedding").alias("pos", "v")).groupBy("label", "pos").agg(F.avg((F.col("v") >= 0).cast("double")).alias("share"))
+    rows = bits.groupBy(F.col("label").alias("list_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "share"))), lambda x: x["share"] - 0.5).alias("embedding"))
+    centroids = binary.from_vectors(rows, 64, "list_id")
+    q, words = _bits(spark, sf)
+    return binary.ivf_knn(q, binary.assign(words, centroids), centroids, K, 3)
+
+
+@_register(f"""WITH c AS ({_CENTROIDS}) SELECT qid, rank, i, j, distance FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY distance, i, j)::INTEGER AS rank FROM
+(SELECT q.vec_id AS qid, a.list_id AS i, b.list_id AS j, {_r(SQL_METRICS['l2']('q.e[1:32]', 'a.c[1:32]') + ' + ' + SQL_METRICS['l2']('q.e[33:64]', 'b.c[33:64]'))} AS distance FROM ({B64}) q, c a, c b WHERE q.vec_id % 20 = 0)) WHERE rank <= {K}""")
+def multi_index_probe(spark, sf):
+    c = np.array([r["centroid"] for r in sorted(label_centroids(spark, sf).collect())])
+    return multi.multi_probe(asked(base(spark, sf)), c[:, :32], c[:, 32:], K)
+
+
+_ONE = "SELECT p_partkey AS vec_id, [p_retailprice] AS e FROM part"
+
+
+@_register(_knn(_ONE))
+def flat_1d(spark, sf):
+    rows = spark.read.parquet(f"{sf}/part.parquet").select(F.col("p_partkey").alias("vec_id"), F.array("p_retailprice").alias("embedding"))
+    return flat.knn(asked(rows), rows, K)
+
+
+@_register()
+def random_index(spark, sf):
+    return multi.random_results(asked(base(spark, sf)), base(spark, sf), K)
+
+
+@_register()
+def graph_knn(spark, sf):
+    """Recall of the graph search, with and without the triangle test."""
+    rows = base(spark, sf)
+    g, truth = graph.build(rows, 16, 100), flat.knn(asked(rows), rows, K)
+    plain = evaluate.recall_at_k(graph.search(g, asked(rows), K, 100), truth, K)
+    return plain.withColumn("tri_ef", F.lit(0)).union(evaluate.recall_at_k(graph.search(g, asked(rows), K, 100, 100), truth, K).withColumn("tri_ef", F.lit(100)))
+
+
+@_register()
+def neighbour_descent(spark, sf):
+    return graph.descend(base(spark, sf), K)
+
+
 def _codec(make, recall_of: int = 100):
     """Recall among the first `recall_of` of a search over codes, and the mean error of decoding."""
 
@@ -713,6 +764,9 @@ for _n, _make in {
     "local_search_quantizer": lambda x: quantize.LocalSearchQuantizer.train(x, 4, 5),
     "product_residual": lambda x: quantize.ProductAdditive.train(x, 2, 2, 5),
     "ivfpq": lambda x: quantize.TwoLevel.train(x, 16, 8, 6),
+    "ivfpqr": lambda x: quantize.Refined.train(x, quantize.TwoLevel.train(x, 16, 8, 6), 8, 6),
+    "independent_lists": lambda x: quantize.IndependentLists.train(x, np.eye(64)[:16], 16, 8, 6),
+    "two_level": lambda x: quantize.TwoLevel.train(x, 8, 4, 6),
     "half_float": lambda x: quantize.HalfFloat(),
     "lattice": lambda x: quantize.Lattice(8, 14),
 }.items():

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import flat, graph, kmeans, quantize, topk, transform
+from tessera.operators import flat, graph, kmeans, multi, quantize, topk, transform
 from tessera.operators.ivf import OPT_LEVELS, IvfIndex, opt_level
 from tessera.plans import cli, factory, tuning
 from tessera.sources import generate, results, vecs
@@ -232,3 +232,23 @@ def test_codecs(spark):
     assert ((r4.decode(r4.encode(x)) - x) ** 2).sum() <= ((r1.decode(r1.encode(x)) - x) ** 2).sum()
     codes = quantize.Lattice(2, 9).encode(x)
     assert ((codes.reshape(-1, 4) ** 2).sum(axis=1) <= 9).all()
+
+
+def test_axis_rule_is_sound():
+    draw = np.random.Generator(np.random.PCG64(8))
+    skipped = 0
+    for _ in range(40):
+        c, x = draw.normal(size=4), draw.normal(size=(300, 4))
+        q = x[0] + draw.normal(size=4) * 0.2
+        bound = float(np.sort(np.linalg.norm(x - q, axis=1))[5])
+        skip = multi.axis_skips(x, q, c, bound, 4)
+        assert (np.linalg.norm(x[skip] - q, axis=1) > bound).all()
+        skipped += skip.sum()
+    assert skipped > 0
+
+
+def test_spectral_bits():
+    x = np.random.Generator(np.random.PCG64(3)).normal(size=(400, 6))
+    h = quantize.SpectralHash.train(x, 4, 1.0)
+    codes = h.encode(x)
+    assert set(np.unique(codes)) == {0, 1} and (h.distances(x[:5], codes)[np.arange(5), np.arange(5)] == 0).all()
