@@ -12,10 +12,11 @@ leading zeros and MANTISSA further bits. The work is done for each different set
    makes m - 1 pairs, however many near copies it holds;
 4. estimate: pairs whose collision-corrected Jaccard estimate lies five standard errors below the
    threshold are dropped; the others are confirmed on the full sets;
-5. connect: links become components. A bucket whose nodes are then of one component is done. In
-   other buckets, nodes of different components are paired with each other, in buckets of up to
-   SMALL nodes at once, in larger ones after cutting them by a second (then third) band; what is
-   still large then is paired by a join, whole.
+5. connect: links become components. A bucket whose nodes are then of one component is done. In the
+   others a node that has too few shingles in common with any other of them drops out (a bound on
+   the exact similarity, which rules out documents that only share passages), the node that shares
+   most of its own is compared with the rest, and so on for ROUNDS nodes; what is still apart then
+   is paired across components, whole, as far as the bound allows.
 
 Nothing about documents reaches the driver, and no bucket is gathered into one task.
 
@@ -43,8 +44,7 @@ REGISTERS = 1 << BUCKET_BITS
 MANTISSA = 10
 ROWS = 6
 BANDS = REGISTERS // ROWS
-SMALL = 64
-LEVELS = 3
+ROUNDS = 3
 SIGMAS = 5.0
 #: Two longs a row: at most 16 MB are broadcast.
 BROADCAST_ROWS = 1_000_000
@@ -259,32 +259,65 @@ class _Search:
             self.links = [links := materialise(links.distinct())]
         return materialise(components(links))
 
-    def resolve(self, members: DataFrame, level: int = 1) -> None:
+    def shared_sizes(self, wanted: DataFrame) -> DataFrame:
+        """(node, n, most): a set's size, and how many of its shingles any other of the wanted sets
+        has, which is as much as two of them can have in common."""
+        sets = self.sets(wanted)
+        size = 8
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                raw = batch.column(1).to_pylist()
+                cuts = pa.array(np.concatenate([[0], np.cumsum([len(x) // size for x in raw])]), pa.int32())
+                lists = pa.ListArray.from_arrays(cuts, pa.array(np.frombuffer(b"".join(raw), dtype=np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["node", "shingles"])
+
+        each = sets.mapInArrow(run, "node long, shingles array<long>").select("node", F.explode("shingles").alias("shingle"))
+        # a node of several rows has its shingles several times: private is what one node alone has
+        private = each.groupBy("shingle").agg(F.min("node").alias("node"), F.max("node").alias("other")).filter("node = other")
+        private = private.groupBy("node").agg(F.count("*").alias("private"))
+        sizes = self.nodes.select("node", F.col("n_shingles").alias("n")).join(wanted.select("node").distinct(), "node", "left_semi")
+        return sizes.join(private, "node", "left").select("node", "n", (F.col("n") - F.coalesce("private", F.lit(0))).alias("most"))
+
+    def possible(self, n: str, most: str, m: str, other: str):
+        """Whether two sets of these sizes and most common shingles can reach the threshold."""
+        return (100 + self.percent) * F.least(most, other) >= self.percent * (F.col(n) + F.col(m))
+
+    def mixed(self, members: DataFrame) -> DataFrame:
+        """Members of buckets whose nodes aren't of one component yet, with their root."""
+        if self.links:
+            members = members.join(self.roots(), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        else:
+            members = members.withColumn("root", F.col("node"))
+        several = members.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("bucket")
+        return materialise(members.join(several, "bucket", "left_semi"))
+
+    def resolve(self, members: DataFrame) -> None:
         """Find the links within buckets; members: (bucket, node)."""
         heads = members.groupBy("bucket").agg(F.min("node").alias("head"), F.count("*").alias("n")).filter("n > 1")
         found = materialise(members.join(heads, "bucket"))
         self.check(found.filter("node <> head").select(F.col("head").alias("u"), F.col("node").alias("v")).distinct())
-        # two of a bucket's nodes are its head and one that was compared with it
-        left = found.filter("n > 2").select("bucket", "node", "n", "head")
-        if self.links:
-            left = left.join(self.roots(), "node", "left").withColumn("root", F.coalesce("root", "node"))
-        else:
-            left = left.withColumn("root", F.col("node"))
-        mixed = left.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b")
-        left = materialise(left.join(mixed.select("bucket"), "bucket", "left_semi").filter("node <> head"))
-        last = level == LEVELS
-        near = left if last else left.filter(f"n <= {SMALL}")
-        other = near.select("bucket", F.col("node").alias("v"), F.col("root").alias("other"))
-        pairs = near.select("bucket", F.col("node").alias("u"), "root").join(other, "bucket").filter("u < v and root <> other")
-        self.check(pairs.select("u", "v").distinct())
-        if not last:
-            large = left.filter(f"n > {SMALL}")
-            if not large.isEmpty():
-                again = large.select("bucket", "node").join(self.nodes.select("node", "bands"), "node")
-                again = again.select("node", "bucket", F.explode("bands").alias("band"))
-                if level == 1:
-                    again = again.filter("band <> bucket")
-                self.resolve(again.select(F.xxhash64("bucket", "band").alias("bucket"), "node"), level + 1)
+        # two nodes are a head and one that was compared with it
+        left = self.mixed(found.filter("n > 2").select("bucket", "node", "head"))
+        if left.isEmpty():
+            return
+        sizes = materialise(self.shared_sizes(left.select("node")))
+        left = materialise(left.join(sizes.filter(f"100 * most >= {self.percent} * n"), "node"))
+        for _ in range(ROUNDS):
+            # the node that shares most is the likeliest to be near all others
+            centre = left.groupBy("bucket").agg(F.max(F.struct((F.col("most") / F.col("n")).alias("share"), "node", "root", "n", "most")).alias("c"))
+            centre = centre.select("bucket", F.col("c.node").alias("u"), F.col("c.root").alias("other"), F.col("c.n").alias("m"), F.col("c.most").alias("common"))
+            near = left.join(centre, "bucket").filter((F.col("root") != F.col("other")) & self.possible("n", "most", "m", "common"))
+            self.check(near.select(F.least("u", "node").alias("u"), F.greatest("u", "node").alias("v")).distinct())
+            left = self.mixed(left.drop("root"))
+            # it has met every node of its bucket
+            left = materialise(left.join(centre.select("bucket", F.col("u").alias("node")), ["bucket", "node"], "left_anti"))
+            if left.isEmpty():
+                return
+        other = left.select("bucket", F.col("node").alias("v"), F.col("root").alias("other"), F.col("n").alias("m"), F.col("most").alias("common"))
+        apart = (F.col("node") < F.col("v")) & (F.col("root") != F.col("other")) & (F.col("node") != F.col("head")) & (F.col("v") != F.col("head"))
+        pairs = left.join(other, "bucket").filter(apart & self.possible("n", "most", "m", "common"))
+        self.check(pairs.select(F.col("node").alias("u"), "v").distinct())
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = 4, percent: int = 80) -> DataFrame:
