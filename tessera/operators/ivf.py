@@ -377,6 +377,19 @@ class IvfIndex:
         return IvfIndex(np.array([r["centroid"] for r in c]), spark.read.parquet(f"{path}/rows"), **known, extra=meta)
 
 
+def find_saved(spark: SparkSession, folder: str, metric: str, opt: int | str, nlist: int, sub_k: int | None = None) -> str | None:
+    """Path of an index saved under folder that serves: same metric and lists, and at least the
+    rules wanted. Only descriptions are read."""
+    wanted = opt_level(opt)
+    found = spark.read.text(f"{folder}/*/meta").select(F.col("_metadata.file_path").alias("path"), "value").collect()
+    for path, value in sorted(map(tuple, found)):
+        meta = json.loads(value)
+        same = (meta["metric"], meta["nlist"]) == (metric, nlist) and (sub_k is None or meta["sub_k"] == sub_k)
+        if same and meta["opt"] & wanted == wanted:
+            return path.rsplit("/meta/", 1)[0]
+    return None
+
+
 def _kind(vectors: DataFrame) -> str:
     return vectors.schema["embedding"].dataType.simpleString()
 

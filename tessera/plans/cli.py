@@ -8,7 +8,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import flat
-from tessera.operators.ivf import OPT_LEVELS, IvfIndex, opt_level
+from tessera.operators.ivf import OPT_LEVELS, IvfIndex, find_saved, opt_level
 from tessera.operators.kmeans import KMeansParams
 from tessera.plans.tuning import sweep
 from tessera.sources import results, vecs
@@ -67,7 +67,10 @@ def run(spark: SparkSession, argv: list[str]):
     for x in opts:
         mask |= opt_level(x)
     where = f"{top}/index/{o.metric}-{nlist}-{mask}-{o.subk}"
-    index = IvfIndex.load(spark, where) if o.cache and vecs.exists(spark, f"{where}/meta") else None
+    index = None
+    if o.cache and vecs.exists(spark, f"{top}/index"):
+        saved = find_saved(spark, f"{top}/index", o.metric, mask, nlist, o.subk)
+        index = IvfIndex.load(spark, saved) if saved else None
     if index is None:
         index = IvfIndex.train(base, nlist, o.metric, mask, o.subk, KMeansParams(metric=o.metric)).add(base)
         if o.cache:

@@ -141,12 +141,15 @@ def test_bad_descriptions():
 
 
 @pytest.mark.parametrize("tri_ef", [0, 60])
-def test_graph_recall(spark, blobs, tri_ef):
+def test_graph_recall(spark, blobs, tmp_path, tri_ef):
     base, queries = blobs
     g = graph.build(base, 12, 80, block_rows=400).cache()
     truth, found = rows(flat.knn(queries, base, 10)), rows(graph.search(g, queries, 10, ef=60, tri_ef=tri_ef))
     near = {q: max(d for x, _, _, d in truth if x == q) for q in range(26)}
     assert sum(d <= near[q] for q, _, _, d in found) / len(truth) > 0.95
+    if not tri_ef:
+        graph.save(g, str(tmp_path / "g"))
+        assert rows(graph.search(graph.load(spark, str(tmp_path / "g")), queries, 10, ef=60)) == found
     gone = base.filter("vec_id % 2 = 0").select("vec_id")
     assert all(i % 2 for _, _, i, _ in rows(graph.search(g, queries, 10, ef=60, deleted=gone)))
 
@@ -188,6 +191,9 @@ def test_command_line(spark, blobs, tmp_path):
     log = cli.run(spark, [*common, "--nprobes", "1", "0", "--opt_levels", "OPT_TRIANGLE", "OPT_ALL", "--csv", str(tmp_path / "log")])
     assert [r["recall"] for r in log.filter("nprobe = 6").collect()] == [1.0, 1.0]
     assert results.read_metrics(spark, str(tmp_path / "log"), tuning.LOG).count() == 4
+    # an index with more rules serves for fewer
+    assert cli.run(spark, [*common, "--train_only", "--opt_levels", "OPT_TRIANGLE"]) is None
+    assert len(list((tmp_path / "d/index").iterdir())) == 1
     with pytest.raises(ValueError):
         cli.run(spark, [*common, "--early_stop", "--ratios", "0.5"])
 
