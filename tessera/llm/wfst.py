@@ -25,7 +25,6 @@ from __future__ import annotations
 import re
 import struct
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -67,7 +66,7 @@ def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
 class Transducer:
     """The compiled model. content: the model file."""
 
-    REMEMBERED = 400_000
+    REMEMBERED = 600_000
 
     def __init__(self, content: bytes):
         self.pieces: list[str] = []
@@ -90,6 +89,7 @@ class Transducer:
             raise ValueError("compiled here: unigram and BPE models with an identity normaliser that keeps white space")
         self.bpe, self.dummy_prefix = kind_of_model == BPE, dummy_prefix
         self.ids = {p: i for i, p in enumerate(self.pieces) if self.kinds[i] in (NORMAL, UNUSED)}
+        self.score = {p: self.scores[i] for p, i in self.ids.items()}
         self.byte_ids = {int(p[3:5], 16): i for i, p in enumerate(self.pieces) if self.kinds[i] == BYTE}
         self.unknown = self.kinds.index(UNKNOWN)
         if any(MARK in p.lstrip(MARK) for p in self.ids):
@@ -99,11 +99,12 @@ class Transducer:
             sizes.setdefault(p[-2:], {1}).add(len(p))
         #: lengths of the pieces that end in these two characters, longest first, and 1
         self.sizes = {c: tuple(sorted(v, reverse=True)) for c, v in sizes.items()}
-        #: the composition's states reached so far: a prefix's last piece and its weight
-        self.states: dict[str, tuple[str, float]] = {"": ("", 0.0)}
+        #: the composition's states reached so far: a prefix's last piece
+        self.states: dict[str, str] = {"": ""}
         self.word = self._splitter()
         self.allowed: dict[tuple[str, str], bool] = {}
-        self.known: dict[str, tuple[int, ...]] = _Paths(self)
+        #: ids by word, four bytes each
+        self.known: dict[str, bytes] = _Paths(self)
         #: what each id writes
         self.output = [
             bytes([int(p[3:5], 16)]) if k == BYTE else b"" if k == CONTROL else " ⁇ ".encode() if k == UNKNOWN else p.replace(MARK, " ").encode()
@@ -129,13 +130,13 @@ class Transducer:
 
     def merged(self, symbols: list[str]) -> list[str]:
         """BPE itself: the best scored merge, leftmost first, until none is left."""
-        ids, scores = self.ids, self.scores
+        score, none = self.score.get, -float("inf")
         while len(symbols) > 1:
-            found = [ids.get(a + b, -1) for a, b in zip(symbols, symbols[1:])]
-            best = max(found, key=lambda i: scores[i] if i >= 0 else -float("inf"))
-            if best < 0:
+            found = [score(a + b, none) for a, b in zip(symbols, symbols[1:])]
+            best = max(found)
+            if best == none:
                 break
-            at = next(j for j, i in enumerate(found) if i >= 0 and scores[i] == scores[best])
+            at = found.index(best)
             symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
         return symbols
 
@@ -151,52 +152,64 @@ class Transducer:
             self.allowed[before, piece] = found
         return 0.0 if found else float("inf")
 
-    def _step(self, word: str, end: int, state_of) -> tuple[str, float]:
-        """Of the arcs that end here (pieces, or a character that goes through its bytes), the one
-        on the shortest path, and that path's weight. state_of gives the states before."""
-        ids, allowed, bpe = self.ids, self.allowed, self.bpe
+    def _last(self, word: str, end: int, last_of) -> str:
+        """BPE: of the arcs that end here (pieces, or a character that goes through its bytes), the
+        one that the grammar allows after the state it starts from."""
+        ids, allowed = self.ids, self.allowed
+        for size in self.sizes.get(word[end - 2 if end > 1 else 0 : end], (1,)):
+            if size <= end:
+                piece = word[end - size : end]
+                if size == 1 or piece in ids:
+                    before = last_of(end - size)
+                    found = allowed.get((before, piece))
+                    if found or found is None and self.weight(before, piece) == 0:
+                        return piece
+        return word[end - 1]
+
+    def _lightest(self, word: str, end: int, weights: list[float]) -> tuple[str, float]:
+        """Unigram: of the arcs that end here, the one on the path of least weight."""
         best, least = word[end - 1], float("inf")
         for size in self.sizes.get(word[max(0, end - 2) : end], (1,)):
-            if size > end:
-                continue
             piece = word[end - size : end]
-            if size == 1 or piece in ids:
-                before, weight = state_of(end - size)
-                if bpe and allowed.get((before, piece)):
-                    return piece, weight
-                weight += self.weight(before, piece)
-                if weight < least:
-                    best, least = piece, weight
-                    if bpe:
-                        break
+            if size <= end and (size == 1 or piece in self.ids):
+                total = weights[end - size] + self.weight("", piece)
+                if total < least:
+                    best, least = piece, total
         return best, least
 
     def path(self, word: str) -> list[str]:
         """The shortest path through the lattice of a word."""
-        if len(word) > 40:
-            reached = [("", 0.0)]
+        lasts = [""]
+        if not self.bpe:
+            weights = [0.0]
+            for end in range(1, len(word) + 1):
+                piece, weight = self._lightest(word, end, weights)
+                lasts.append(piece)
+                weights.append(weight)
+            last_of = lasts.__getitem__
+        elif len(word) > 40:
             for end in range(1, len(word) + 1):
-                reached.append(self._step(word, end, reached.__getitem__))
-            state_of = reached.__getitem__
+                lasts.append(self._last(word, end, lasts.__getitem__))
+            last_of = lasts.__getitem__
         else:
+            if len(self.states) > self.REMEMBERED:
+                self.states = {"": ""}
             states = self.states
-            if len(states) > self.REMEMBERED:
-                states = self.states = {"": ("", 0.0)}
-            state_of = lambda n: states[word[:n]]
+            last_of = lambda n: states[word[:n]]
             end = len(word)
             while word[:end] not in states:
                 end -= 1
             while end < len(word):
                 end += 1
-                states[word[:end]] = self._step(word, end, state_of)
+                states[word[:end]] = self._last(word, end, last_of)
         out, end = [], len(word)
         while end:
-            piece = state_of(end)[0]
+            piece = last_of(end)
             out.append(piece)
             end -= len(piece)
         return out[::-1]
 
-    def word_ids(self, word: str) -> tuple[int, ...]:
+    def word_ids(self, word: str) -> list[int]:
         # merging marks alone has ties, which the pair grammar doesn't settle: one run, one path
         marks = len(word) - len(word.lstrip(MARK)) if self.bpe else 0
         path = self.merged(list(word)) if marks > 1 else self.path(word)
@@ -208,11 +221,11 @@ class Transducer:
                 out += [self.byte_ids[b] for b in piece.encode()]
             else:
                 out.append(self.unknown)
-        return tuple(out)
+        return out
 
     def encode(self, text: str) -> np.ndarray:
         found = map(self.known.__getitem__, self.word.findall(self.normalised(text)))
-        return np.fromiter(chain.from_iterable(found), dtype=np.int32)
+        return np.frombuffer(b"".join(found), dtype=np.int32)
 
     def decode(self, ids: np.ndarray) -> str:
         text = b"".join(map(self.output.__getitem__, ids.tolist())).decode(errors="replace")
@@ -224,8 +237,8 @@ class _Paths(dict):
         super().__init__()
         self.model = model
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        ids = self.model.word_ids(word)
+    def __missing__(self, word: str) -> bytes:
+        ids = np.array(self.model.word_ids(word), dtype=np.int32).tobytes()
         if len(word) <= 40:
             if len(self) > self.model.REMEMBERED:
                 self.clear()
