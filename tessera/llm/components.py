@@ -2,11 +2,35 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import materialise
 
+#: A graph of so many edges is one task's work; a larger one is contracted in rounds.
+SMALL = 200_000
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Union-find over all edges of a small graph."""
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            parent.setdefault(a, a), parent.setdefault(b, b)
+            a, b = find(a), find(b)
+            parent[max(a, b)] = min(a, b)
+    nodes = list(parent)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([find(x) for x in nodes], pa.int64())], names=["node", "root"])
+
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Each node hands its larger neighbours to the least of its neighbourhood."""
@@ -26,15 +50,18 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, small: int = SMALL) -> DataFrame:
     """(node, root) for every node of an edge (u, v), root being the least node reachable.
 
-    edges may hold repeats and both directions. The number of rounds grows with the logarithm of
-    the longest path; each round is written to the checkpoint folder. No neighbourhood is gathered:
-    a node's neighbours meet only as a minimum, which is combined before the shuffle.
+    edges may hold repeats and both directions. A graph of at most `small` edges is merged in one
+    task; beyond that the number of rounds grows with the logarithm of the longest path, and each
+    round is written to the checkpoint folder. No neighbourhood is gathered then: a node's
+    neighbours meet only as a minimum, which is combined before the shuffle.
     """
-    now = edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    now = materialise(now)
+    now = edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    if small and now.count() <= small:
+        return now.coalesce(1).mapInArrow(_merged, "node long, root long")
+    now = materialise(now.distinct())
     state = _state(now)
     while state[0]:
         now = materialise(_small_star(_large_star(now)).distinct())

@@ -29,6 +29,7 @@ empty table gives no rows; other columns don't matter.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -191,6 +192,7 @@ class _Search:
         nodes = sketched.groupBy("node").agg(F.min("fetch").alias("fetch"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers"))
         self.nodes = materialise(_banded(nodes))
         self.links: list[DataFrame] = []
+        self.known_roots: DataFrame | None = None
 
     def likely(self, pairs: DataFrame) -> DataFrame:
         percent, least = self.percent, self.percent / 100
@@ -249,15 +251,16 @@ class _Search:
     def check(self, pairs: DataFrame) -> None:
         likely = materialise(self.likely(pairs))
         if not likely.isEmpty():
-            self.links.append(materialise(self.confirmed(likely).distinct()))
+            links = materialise(self.confirmed(likely))
+            if not links.isEmpty():
+                self.links.append(links)
+                self.known_roots = None
 
     def roots(self) -> DataFrame:
-        links = self.links[0]
-        for more in self.links[1:]:
-            links = links.union(more)
-        if len(self.links) > 1:
-            self.links = [links := materialise(links.distinct())]
-        return materialise(components(links))
+        """(node, root) by all links found so far."""
+        if self.known_roots is None:
+            self.known_roots = materialise(components(reduce(DataFrame.union, self.links)))
+        return self.known_roots
 
     def shared_sizes(self, wanted: DataFrame) -> DataFrame:
         """(node, n, most): a set's size, and how many of its shingles any other of the wanted sets
@@ -314,9 +317,12 @@ class _Search:
             left = materialise(left.join(centre.select("bucket", F.col("u").alias("node")), ["bucket", "node"], "left_anti"))
             if left.isEmpty():
                 return
-        other = left.select("bucket", F.col("node").alias("v"), F.col("root").alias("other"), F.col("n").alias("m"), F.col("most").alias("common"))
-        apart = (F.col("node") < F.col("v")) & (F.col("root") != F.col("other")) & (F.col("node") != F.col("head")) & (F.col("v") != F.col("head"))
-        pairs = left.join(other, "bucket").filter(apart & self.possible("n", "most", "m", "common"))
+        # a pair is made in one of the buckets that it shares
+        left = left.join(self.nodes.select("node", "bands"), "node")
+        other = left.select("bucket", F.col("node").alias("v"), F.col("root").alias("other"), F.col("n").alias("m"), F.col("most").alias("common"), F.col("head").alias("first"), F.col("bands").alias("theirs"))
+        apart = (F.col("node") < F.col("v")) & (F.col("root") != F.col("other")) & (F.col("node") != F.col("head")) & (F.col("v") != F.col("first"))
+        once = F.array_min(F.array_intersect("bands", "theirs")) == F.col("bucket")
+        pairs = left.join(other.withColumnRenamed("bucket", "met"), (F.col("bucket") == F.col("met")) & apart & self.possible("n", "most", "m", "common") & once)
         self.check(pairs.select(F.col("node").alias("u"), "v").distinct())
 
 

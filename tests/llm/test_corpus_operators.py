@@ -391,8 +391,10 @@ def test_components(spark):
     for a, b in edges:
         a, b = find(a), find(b)
         parent[max(a, b)] = min(a, b)
-    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
-    assert got == {x: find(x) for e in edges if e[0] != e[1] for x in e}
+    for small in (0, 1000):
+        got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "u long, v long").repartition(3), small).collect()}
+        assert got == {x: find(x) for e in edges if e[0] != e[1] for x in e}
+    assert components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
 # --- all of them on odd tables ------------------------------------------------------------
