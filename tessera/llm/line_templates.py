@@ -39,12 +39,13 @@ SHORTEST, LONGEST = 6, 128
 BLOCK = 1024
 
 _FIELD = re.compile(rb"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*")
+_DIGIT = re.compile(rb"[0-9]").search
 
 
 def parse(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(leaf, masked, tokens, token hashes, first token) of lines: the tree's path and the masked
     line as 64-bit hashes, how many tokens there are, and the tokens of all lines in a row."""
-    masked = [_FIELD.sub(b"<*>", x) for x in lines]
+    masked = [_FIELD.sub(b"<*>", x) if _DIGIT(x) else x for x in lines]
     data, offsets = np.frombuffer(b"".join(masked), dtype=np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in masked], dtype=np.int64)])
     starts, ends, first = word_bounds(data, offsets)
     hashes = word_hashes(data, starts, ends)
