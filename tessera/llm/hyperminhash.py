@@ -15,8 +15,9 @@ leading zeros and MANTISSA further bits. The work is done for each different set
 5. connect: links become components. A bucket whose nodes are then of one component is done. In the
    others a node that has too few shingles in common with any other of them drops out (a bound on
    the exact similarity, which rules out documents that only share passages), the node that shares
-   most of its own is compared with the rest, and so on for ROUNDS nodes; what is still apart then
-   is paired across components, whole, as far as the bound allows.
+   most of its own is compared with the rest, and so on for ROUNDS nodes. What is still apart then
+   is paired across components, whole: sets that share a shingle which at most RARE of them have, by
+   that shingle, and others by bucket as far as their common shingles alone can reach the threshold.
 
 Nothing about documents reaches the driver, and no bucket is gathered into one task.
 
@@ -46,6 +47,7 @@ MANTISSA = 10
 ROWS = 6
 BANDS = REGISTERS // ROWS
 ROUNDS = 3
+RARE = 4
 SIGMAS = 5.0
 #: Two longs a row: at most 16 MB are broadcast.
 BROADCAST_ROWS = 1_000_000
@@ -262,9 +264,14 @@ class _Search:
             self.known_roots = materialise(components(reduce(DataFrame.union, self.links)))
         return self.known_roots
 
-    def shared_sizes(self, wanted: DataFrame) -> DataFrame:
-        """(node, n, most): a set's size, and how many of its shingles any other of the wanted sets
-        has, which is as much as two of them can have in common."""
+    def shared_sizes(self, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(node, n, most, common) and (shingle, node).
+
+        most: how many of a set's shingles any other of the wanted sets has, which is as much as two
+        of them can have in common. common: those that more than RARE of them have, which is as much
+        as two can have in common that share no rarer one. The second table has the rare shingles
+        of two sets or more.
+        """
         sets = self.sets(wanted)
         size = 8
 
@@ -276,11 +283,13 @@ class _Search:
                 yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["node", "shingles"])
 
         each = sets.mapInArrow(run, "node long, shingles array<long>").select("node", F.explode("shingles").alias("shingle"))
-        # a node of several rows has its shingles several times: private is what one node alone has
-        private = each.groupBy("shingle").agg(F.min("node").alias("node"), F.max("node").alias("other")).filter("node = other")
-        private = private.groupBy("node").agg(F.count("*").alias("private"))
+        each = materialise(each.distinct())
+        counts = each.groupBy("shingle").agg(F.count("*").alias("df")).filter(f"df <= {RARE}")
+        rare = materialise(each.join(counts, "shingle"))
+        few = rare.groupBy("node").agg(F.sum((F.col("df") == 1).cast("long")).alias("private"), F.count("*").alias("rare"))
         sizes = self.nodes.select("node", F.col("n_shingles").alias("n")).join(wanted.select("node").distinct(), "node", "left_semi")
-        return sizes.join(private, "node", "left").select("node", "n", (F.col("n") - F.coalesce("private", F.lit(0))).alias("most"))
+        less = lambda c: F.col("n") - F.coalesce(c, F.lit(0))
+        return sizes.join(few, "node", "left").select("node", "n", less("private").alias("most"), less("rare").alias("common")), rare.filter("df > 1").select("shingle", "node")
 
     def possible(self, n: str, most: str, m: str, other: str):
         """Whether two sets of these sizes and most common shingles can reach the threshold."""
@@ -304,26 +313,33 @@ class _Search:
         left = self.mixed(found.filter("n > 2").select("bucket", "node", "head"))
         if left.isEmpty():
             return
-        sizes = materialise(self.shared_sizes(left.select("node")))
+        sizes, rare = self.shared_sizes(left.select("node"))
+        sizes = materialise(sizes)
         left = materialise(left.join(sizes.filter(f"100 * most >= {self.percent} * n"), "node"))
         for _ in range(ROUNDS):
             # the node that shares most is the likeliest to be near all others
-            centre = left.groupBy("bucket").agg(F.max(F.struct((F.col("most") / F.col("n")).alias("share"), "node", "root", "n", "most")).alias("c"))
-            centre = centre.select("bucket", F.col("c.node").alias("u"), F.col("c.root").alias("other"), F.col("c.n").alias("m"), F.col("c.most").alias("common"))
-            near = left.join(centre, "bucket").filter((F.col("root") != F.col("other")) & self.possible("n", "most", "m", "common"))
+            centre = left.groupBy("bucket").agg(F.max(F.struct((F.col("common") / F.col("n")).alias("share"), "node", "root", "n", "most")).alias("c"))
+            centre = centre.select("bucket", F.col("c.node").alias("u"), F.col("c.root").alias("other"), F.col("c.n").alias("m"), F.col("c.most").alias("theirs"))
+            near = left.join(centre, "bucket").filter((F.col("root") != F.col("other")) & self.possible("n", "most", "m", "theirs"))
             self.check(near.select(F.least("u", "node").alias("u"), F.greatest("u", "node").alias("v")).distinct())
             left = self.mixed(left.drop("root"))
             # it has met every node of its bucket
             left = materialise(left.join(centre.select("bucket", F.col("u").alias("node")), ["bucket", "node"], "left_anti"))
             if left.isEmpty():
                 return
-        # a pair is made in one of the buckets that it shares
+        # pairs that share a rare shingle: at most RARE partners for each
+        nodes = left.select("node", "root", "n", "most").distinct()
+        a = rare.join(nodes, "node")
+        b = a.select("shingle", F.col("node").alias("v"), F.col("root").alias("other"), F.col("n").alias("m"), F.col("most").alias("theirs"))
+        apart = (F.col("node") < F.col("v")) & (F.col("root") != F.col("other"))
+        few = a.join(b.withColumnRenamed("shingle", "same"), (F.col("shingle") == F.col("same")) & apart & self.possible("n", "most", "m", "theirs"))
+        # the others have common shingles alone; each is made in one of the buckets that it shares
         left = left.join(self.nodes.select("node", "bands"), "node")
-        other = left.select("bucket", F.col("node").alias("v"), F.col("root").alias("other"), F.col("n").alias("m"), F.col("most").alias("common"), F.col("head").alias("first"), F.col("bands").alias("theirs"))
-        apart = (F.col("node") < F.col("v")) & (F.col("root") != F.col("other")) & (F.col("node") != F.col("head")) & (F.col("v") != F.col("first"))
-        once = F.array_min(F.array_intersect("bands", "theirs")) == F.col("bucket")
-        pairs = left.join(other.withColumnRenamed("bucket", "met"), (F.col("bucket") == F.col("met")) & apart & self.possible("n", "most", "m", "common") & once)
-        self.check(pairs.select(F.col("node").alias("u"), "v").distinct())
+        other = left.select(F.col("bucket").alias("met"), F.col("node").alias("v"), F.col("root").alias("other"), F.col("n").alias("m"), F.col("common").alias("theirs"), F.col("head").alias("first"), F.col("bands").alias("keys"))
+        apart = apart & (F.col("node") != F.col("head")) & (F.col("v") != F.col("first"))
+        once = F.array_min(F.array_intersect("bands", "keys")) == F.col("bucket")
+        many = left.join(other, (F.col("bucket") == F.col("met")) & apart & self.possible("n", "common", "m", "theirs") & once)
+        self.check(few.select(F.col("node").alias("u"), "v").union(many.select(F.col("node").alias("u"), "v")).distinct())
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = 4, percent: int = 80) -> DataFrame:
