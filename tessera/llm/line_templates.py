@@ -7,10 +7,12 @@ are variable, too. A template found in MIN_DOCS documents or more is dropped fro
 of them (by id), which keeps it.
 
 How it is laid out: a line travels as hashes (its leaf, its masked self), so counting moves a few
-dozen bytes a line. Only leaves with several different lines send tokens on, as 16-bit codes, and
-leaves of any size are cut into blocks of about BLOCK different lines, in which templates form;
-what the blocks of a leaf have found is merged in a second round over blocks of templates. No group
-is larger than a block. Texts move once, to meet the line numbers they lose.
+dozen bytes a line. Only leaves with several different lines send tokens on, as 16-bit codes.
+Templates form in a task as if it had the whole leaf. A leaf of more than BLOCK different lines is
+cut without loss: a line joins a template only if it agrees in SIMILAR of its positions with every
+line of it, and lines that do so have one of segments() in common; so lines that no chain of common
+segments connects never share a template, and each connected part is a group of its own. Such a
+part is one task's work. Texts move once, to meet the line numbers they lose.
 
 Defined results: null texts stay null, empty ones empty; lines of fewer than MIN_TOKENS words are
 never dropped; a line longer than LONGEST words, or shorter than SHORTEST, is its own template;
@@ -20,6 +22,8 @@ table gives no rows; other columns pass through, whatever their names.
 
 from __future__ import annotations
 
+import hashlib
+import math
 import re
 from collections.abc import Iterator
 
@@ -29,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import materialise
+from tessera.llm.components import components
 from tessera.llm.textbytes import mix, word_bounds, word_hashes
 
 LEADING = 3
@@ -37,6 +42,8 @@ MIN_TOKENS = 3
 MIN_DOCS = 3
 SHORTEST, LONGEST = 6, 128
 BLOCK = 1024
+#: Up to so many templates are compared one and all; beyond, those that a segment finds.
+SCANNED = 64
 
 _FIELD = re.compile(rb"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*")
 _DIGIT = re.compile(rb"[0-9]").search
@@ -100,52 +107,71 @@ def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(leaf[keep]), pa.array(whole[keep]), pa.array(tokens, pa.binary())], names=["leaf", "masked", "tokens"])
 
 
-def form_templates(tokens: np.ndarray, fixed: np.ndarray) -> np.ndarray:
+def segments(width: int) -> list[tuple[int, int]]:
+    """Begin and end of segments of the positions behind the leading ones: one more than the
+    positions in which lines of a template may differ, so two lines of it have one in common."""
+    n = width - math.ceil(SIMILAR * width) + 1
+    rest = width - LEADING
+    return [(LEADING + rest * i // n, LEADING + rest * (i + 1) // n) for i in range(n)]
+
+
+def _segmented(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (leaf, masked, tokens) -> (masked, segment), segment being a hash of the leaf, the
+    segment's place and its tokens."""
+    for batch in batches:
+        rows, keys = [], []
+        for leaf, masked, tokens in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            cuts = segments(len(tokens) // 2)
+            keys += [hashlib.blake2b(b"%d %d " % (leaf, i) + tokens[2 * a : 2 * b], digest_size=8).digest() for i, (a, b) in enumerate(cuts)]
+            rows += [masked] * len(cuts)
+        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(np.frombuffer(b"".join(keys), dtype=np.int64))], names=["masked", "segment"])
+
+
+def form_templates(tokens: np.ndarray) -> np.ndarray:
     """The number of the template that each line belongs to, lines taken in order.
 
-    tokens: (lines, positions); fixed: False where a line (a template of an earlier round) has a
-    variable field. A line joins the template with which it shares most positions, the first of
-    those, if they are SIMILAR of all; positions that differ become variable.
+    tokens: (lines, positions) of a leaf. A line joins the template with which it shares most
+    positions, the first of those, if they are SIMILAR of all; positions that differ become
+    variable.
     """
-    n = len(tokens)
+    n, width = tokens.shape
     member = np.zeros(n, dtype=np.int64)
-    form, still = np.empty_like(tokens), np.zeros_like(fixed)
+    form, still = np.empty_like(tokens), np.ones(tokens.shape, dtype=bool)
+    cuts = segments(width) if n > SCANNED else []
+    filed: dict[tuple[int, bytes], list[int]] = {}
     found = 0
     for i in range(n):
-        if found:
-            alike = ((form[:found] == tokens[i]) & still[:found] & fixed[i]).sum(axis=1)
-            best = int(alike.argmax())
-            if alike[best] >= SIMILAR * tokens.shape[1]:
+        parts = [(j, tokens[i, a:b].tobytes()) for j, (a, b) in enumerate(cuts)]
+        if found > SCANNED:
+            few = np.array(sorted({t for x in parts for t in filed.get(x, ())}), dtype=np.int64)
+        else:
+            few = np.arange(found)
+        if len(few):
+            alike = ((form[few] == tokens[i]) & still[few]).sum(axis=1)
+            at = int(alike.argmax())
+            if alike[at] >= SIMILAR * width:
+                best = int(few[at])
                 member[i] = best
-                still[best] &= (form[best] == tokens[i]) & fixed[i]
+                still[best] &= form[best] == tokens[i]
                 continue
-        form[found], still[found] = tokens[i], fixed[i]
+        form[found] = tokens[i]
+        for x in parts:
+            filed.setdefault(x, []).append(found)
         member[i] = found
         found += 1
     return member
 
 
 def _grown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (leaf, block, masked, tokens, fixed) in order of (leaf, block, masked) -> each with the
-    template it joins: (leaf, masked, template, tokens, fixed); those last two are the template's."""
+    """Rows (leaf, block, masked, tokens) in order of (leaf, block, length, masked) -> (masked,
+    template) of those that share a template, which is named by its first line."""
 
     def out(run: list[tuple]) -> pa.RecordBatch:
-        tokens = np.stack([np.frombuffer(x[3], dtype=np.uint16) for x in run])
-        fixed = np.stack([np.frombuffer(x[4], dtype=bool) if x[4] is not None else np.ones(tokens.shape[1], bool) for x in run])
-        member = form_templates(tokens, fixed)
-        names, shapes = {}, {}
-        for i, m in enumerate(member.tolist()):
-            if m not in names:
-                names[m], shapes[m] = run[i][2], [tokens[i], fixed[i].copy()]
-            else:
-                shapes[m][1] &= fixed[i] & (tokens[i] == shapes[m][0])
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array([x[0] for x in run], pa.int64()), pa.array([x[2] for x in run], pa.int64()), pa.array([names[m] for m in member.tolist()], pa.int64()),
-                pa.array([shapes[m][0].tobytes() for m in member.tolist()], pa.binary()), pa.array([shapes[m][1].tobytes() for m in member.tolist()], pa.binary()),
-            ],
-            names=["leaf", "masked", "template", "tokens", "fixed"],
-        )
+        member = form_templates(np.stack([np.frombuffer(x[3], dtype=np.uint16) for x in run]))
+        shared = np.bincount(member)[member] > 1
+        _, first = np.unique(member, return_index=True)
+        masked = np.array([x[2] for x in run], dtype=np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(masked[shared]), pa.array(masked[first][member][shared])], names=["masked", "template"])
 
     run: list[tuple] = []
     for batch in batches:
@@ -159,17 +185,19 @@ def _grown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(run)
 
 
-_GROWN = "leaf long, masked long, template long, tokens binary, fixed binary"
-
-
-def _round(rows: DataFrame) -> DataFrame:
-    """One round of forming templates; rows: leaf, masked, tokens, fixed, different ones each."""
-    sizes = rows.groupBy("leaf").agg(F.count("*").alias("n")).filter("n > 1")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    at = rows.join(sizes, "leaf").withColumn("block", F.pmod(F.xxhash64("masked"), blocks))
-    at = at.select("leaf", "block", "masked", "tokens", "fixed")
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return at.repartition(parts, "leaf", "block").sortWithinPartitions("leaf", "block", F.length("tokens"), "masked").mapInArrow(_grown, _GROWN)
+def _grouped(coded: DataFrame) -> DataFrame:
+    """coded with block: lines of a leaf in different blocks share no template. Of large leaves,
+    lines that have no segment in common with another go."""
+    many = coded.groupBy("leaf").agg(F.count("*").alias("n")).filter(F.col("n") > BLOCK).select("leaf")
+    keyed = materialise(coded.join(many, "leaf", "left_semi").mapInArrow(_segmented, "masked long, segment long"))
+    small = coded.withColumn("block", F.lit(0).cast("long"))
+    if keyed.isEmpty():
+        return small
+    least = keyed.groupBy("segment").agg(F.min("masked").alias("v"))
+    edges = keyed.join(least, "segment").select(F.col("masked").alias("u"), "v").filter("u <> v").distinct()
+    part = components(edges).select(F.col("node").alias("masked"), F.col("root").alias("block"))
+    large = coded.join(many, "leaf", "left_semi").join(part, "masked").select(*small.columns)
+    return small.join(many, "leaf", "left_anti").select(*small.columns).union(large)
 
 
 def generalised(keyed: DataFrame, hashed: DataFrame) -> DataFrame:
@@ -177,18 +205,11 @@ def generalised(keyed: DataFrame, hashed: DataFrame) -> DataFrame:
     # leaves with two different lines or more
     leaves = hashed.groupBy("leaf").agg(F.min("masked").alias("a"), F.max("masked").alias("b")).filter("a <> b").select("leaf")
     coded = keyed.mapInArrow(_coded, "leaf long, masked long, tokens binary").join(leaves, "leaf", "left_semi")
-    coded = coded.groupBy("leaf", "masked").agg(F.first("tokens").alias("tokens")).withColumn("fixed", F.lit(None).cast("binary"))
-    one = materialise(_round(materialise(coded)))
-    found = one.groupBy("leaf", "template").agg(F.first("tokens").alias("tokens"), F.first("fixed").alias("fixed"))
-    # a leaf's templates meet again, as lines, if its lines were more than a block's
-    many = one.groupBy("leaf").agg(F.count("*").alias("n")).filter(f"n > {BLOCK}").select("leaf")
-    again = materialise(found.join(many, "leaf", "left_semi").select("leaf", F.col("template").alias("masked"), "tokens", "fixed"))
-    pairs = one.select("masked", "template")
-    if not again.isEmpty():
-        two = _round(again).select(F.col("masked").alias("template"), F.col("template").alias("merged"))
-        pairs = pairs.join(two, "template", "left").select("masked", F.coalesce("merged", "template").alias("template"))
-    shared = pairs.groupBy("template").agg(F.count("*").alias("n")).filter("n > 1").select("template")
-    return materialise(pairs.join(shared, "template", "left_semi").select("masked", "template").distinct())
+    coded = materialise(coded.groupBy("leaf", "masked").agg(F.first("tokens").alias("tokens")))
+    at = _grouped(coded).select("leaf", "block", "masked", "tokens")
+    parts = int(coded.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    at = at.repartition(parts, "leaf", "block").sortWithinPartitions("leaf", "block", F.length("tokens"), "masked")
+    return materialise(at.mapInArrow(_grown, "masked long, template long").distinct())
 
 
 def recurring(keyed: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:

@@ -125,6 +125,32 @@ def test_lines_that_recur_verbatim(spark, documents):
                 assert re.search(r"\d", line) or len(WORD.findall(line)) >= line_templates.SHORTEST
 
 
+def test_templates_of_a_large_leaf(spark, monkeypatch):
+    """All lines of a leaf meet, however many they are: each template keeps its first line alone."""
+    monkeypatch.setattr(line_templates, "BLOCK", 64)
+    draw = random.Random(5)
+    word = lambda: "".join(draw.choices("abcdefghij", k=6))
+    docs = []
+    for t in range(200):
+        body = [word() for _ in range(9)]
+        docs += [(3 * t + j, " ".join(["the", "same", "start", *body[:4], word(), *body[5:]])) for j in range(3)]
+    out = line_templates.drop_recurring(spark.createDataFrame(docs, "doc_id long, text string").repartition(5))
+    assert {r["doc_id"]: r["n_dropped"] for r in out.collect()} == {i: int(i % 3 > 0) for i in range(600)}
+
+
+def test_templates_found_by_segments(monkeypatch):
+    """Looking templates up by segments gives those of comparing with each."""
+    draw = np.random.default_rng(3)
+    for width in (4, 5, 6, 8, 13, 40):
+        tokens = draw.integers(0, 3, (40, width), dtype=np.uint16)[draw.integers(0, 40, 500)]
+        tokens = np.where(draw.random(tokens.shape) < 0.15, draw.integers(3, 9, tokens.shape), tokens).astype(np.uint16)
+        tokens[:, : line_templates.LEADING] = 1
+        monkeypatch.setattr(line_templates, "SCANNED", 10**9)
+        plain = line_templates.form_templates(tokens)
+        monkeypatch.setattr(line_templates, "SCANNED", 0)
+        assert (line_templates.form_templates(tokens) == plain).all()
+
+
 # --- 4: mixing ----------------------------------------------------------------------------
 
 
