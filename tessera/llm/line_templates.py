@@ -15,8 +15,7 @@ segments connects never share a template, and each connected part is a group of
 part is one task's work. Texts move once, to meet the line numbers they lose.
 
 Defined results: null texts stay null, empty ones empty; lines of fewer than MIN_TOKENS words are
-never dropped; a line longer than LONGEST words, or shorter than SHORTEST, is its own template;
-repeated rows of one id and text count as one document; a null id is last in the order; an empty
+never dropped; repeated rows of one id and text count as one document; a null id is last in the order; an empty
 table gives no rows; other columns pass through, whatever their names.
 """
 
@@ -40,7 +39,8 @@ LEADING = 3
 SIMILAR = 0.75
 MIN_TOKENS = 3
 MIN_DOCS = 3
-SHORTEST, LONGEST = 6, 128
+#: Shorter lines are equal if the tree's path is.
+SHORTEST = LEADING + 1
 BLOCK = 1024
 #: Up to so many templates are compared one and all; beyond, those that a segment finds.
 SCANNED = 64
@@ -102,7 +102,7 @@ def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for _, _, leaf, whole, count, hashes, first in _lines(batches):
         codes = (hashes >> np.uint64(48)).astype(np.uint16)
         _, once = np.unique(whole, return_index=True)
-        keep = [i for i in once.tolist() if SHORTEST <= count[i] <= LONGEST]
+        keep = [i for i in once.tolist() if count[i] >= SHORTEST]
         tokens = [codes[first[i] : first[i + 1]].tobytes() for i in keep]
         yield pa.RecordBatch.from_arrays([pa.array(leaf[keep]), pa.array(whole[keep]), pa.array(tokens, pa.binary())], names=["leaf", "masked", "tokens"])
 

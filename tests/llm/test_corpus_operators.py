@@ -138,6 +138,14 @@ def test_templates_of_a_large_leaf(spark, monkeypatch):
     assert {r["doc_id"]: r["n_dropped"] for r in out.collect()} == {i: int(i % 3 > 0) for i in range(600)}
 
 
+def test_templates_of_short_and_long_lines(spark):
+    """Lines of any length generalise: 4 and 5 words, and more than 128."""
+    long = " ".join(f"{a}{b}" for a in "abcdefghijkl" for b in "abcdefghijklmno")
+    docs = [(i, f"{long} {x} end\nwe all saw {x} there\nplease look at {x}\nsee {x} now") for i, x in enumerate(["red", "green", "blue"])]
+    out = {r["doc_id"]: r["text"] for r in line_templates.drop_recurring(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert out == {0: docs[0][1], 1: "see green now", 2: "see blue now"}
+
+
 def test_templates_found_by_segments(monkeypatch):
     """Looking templates up by segments gives those of comparing with each."""
     draw = np.random.default_rng(3)
