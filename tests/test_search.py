@@ -163,6 +163,19 @@ def test_neighbour_descent(spark, blobs):
     assert share > 0.9
 
 
+@pytest.mark.parametrize("block_rows", [200, 4096])
+def test_neighbour_descent_finds_most(spark, block_rows):
+    """Recall on vectors without structure, in several blocks and in one."""
+    draw = np.random.default_rng(1).normal(size=(1500, 32))
+    base = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(draw)], "vec_id long, embedding array<double>")
+    found = {(r[0], r[2]) for r in graph.descend(base, 10, block_rows=block_rows).collect()}
+    d = ((draw[:, None] - draw[None]) ** 2).sum(axis=2)
+    np.fill_diagonal(d, np.inf)
+    true = {(i, int(j)) for i, row in enumerate(d.argsort(axis=1)[:, :10]) for j in row}
+    assert len(found & true) >= 0.9 * len(true) and len(found) == len(true)
+    assert block_rows == 200 or found == true
+
+
 @pytest.mark.parametrize("ending", ["fvecs", "ivecs", "bvecs"])
 def test_vector_files(spark, tmp_path, ending):
     data = [(i, [float((i * j) % 200) for j in range(1, 6)]) for i in range(37)]
