@@ -26,6 +26,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,6 +44,7 @@ OPT_LEVELS = {
 }
 #: Rows of a list among which its neighbour table is made.
 SUB_BLOCK = 4096
+SUB_STEP = 512
 COUNTERS = ("total", "skip_tri", "skip_tri_large", "skip_l2", "skip_ip", "computed", "updates")
 
 
@@ -130,32 +132,65 @@ class IvfIndex:
 
     def with_neighbours(self) -> IvfIndex:
         """Adds to each row its sub_k neighbours within its list: `near` (by distance), `cos_near`
-        and `cos_far` (by the cosine of what is left after the centroid)."""
+        and `cos_far` (by the cosine of what is left after the centroid).
+
+        A list of more than SUB_BLOCK rows is cut into blocks; each meets each, a pair of blocks a
+        task, and the best of all are kept."""
+        kind, k = _kind(self.rows), self.sub_k
         sizes = self.rows.groupBy("list_id").agg(F.ceil(F.count("*") / SUB_BLOCK).alias("blocks"))
-        cut = self.rows.select("list_id", "vec_id", "embedding", "d2c", "r").join(sizes, "list_id").withColumn("block", F.pmod(F.xxhash64("vec_id"), "blocks")).drop("blocks")
-        centroids, k = self.centroids, self.sub_k
-        shared = self.rows.sparkSession.sparkContext.broadcast(centroids)
+        cut = self.rows.select("list_id", "vec_id", "embedding", "d2c", "r").join(sizes, "list_id").withColumn("block", F.pmod(F.xxhash64("vec_id"), "blocks"))
+        # a row asks in the pairs (its block, other) and is met in the pairs (other, its block)
+        each = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        base = ["list_id", "vec_id", "embedding", "d2c", "r"]
+        asks = each.select(*base, F.col("block").alias("one"), F.col("other").alias("two"), F.lit(True).alias("asks"))
+        met = each.filter("other <> block").select(*base, F.col("other").alias("one"), F.col("block").alias("two"), F.lit(False).alias("asks"))
+        shared = self.rows.sparkSession.sparkContext.broadcast(self.centroids)
+        names = ("near", "cos_near", "cos_far")
 
         def run(table: pa.Table) -> pa.Table:
-            table = table.combine_chunks()
-            x, ids = matrix(table.column("embedding")), table.column("vec_id").to_numpy()
-            d2 = KERNELS["l2"](x, x)
-            left = x - shared.value[table.column("list_id")[0].as_py()]
-            n = np.linalg.norm(left, axis=1)
-            cosine = (left @ left.T) / np.where(n == 0, 1, n)[:, None] / np.where(n == 0, 1, n)[None, :]
-            keep = min(k, len(ids) - 1)
-            out = [table.column(c) for c in ("list_id", "vec_id", "embedding", "d2c", "r")]
-            for key, value in ((d2, np.sqrt(d2)), (-cosine, cosine), (cosine, cosine)):
-                key = rounded(key)
-                np.fill_diagonal(key, np.inf)
-                order = np.lexsort((np.broadcast_to(ids, key.shape), key), axis=1)[:, :keep]
-                cuts = pa.array(np.arange(0, order.size + 1, keep) if keep else np.zeros(len(ids) + 1), pa.int32())
-                out += [pa.ListArray.from_arrays(cuts, pa.array(ids[order].ravel())), pa.ListArray.from_arrays(cuts, pa.array(np.take_along_axis(value, order, axis=1).ravel()))]
-            return pa.table(out, names=["list_id", "vec_id", "embedding", "d2c", "r", "near_ids", "near", "cos_near_ids", "cos_near", "cos_far_ids", "cos_far"])
-
-        pairs = ", ".join(f"{x}_ids array<long>, {x} array<double>" for x in ("near", "cos_near", "cos_far"))
-        rows = cut.groupBy("list_id", "block").applyInArrow(run, f"list_id int, vec_id long, embedding {_kind(self.rows)}, d2c double, r double, {pairs}")
-        return replace(self, rows=rows)
+            table = table.combine_chunks().sort_by([("vec_id", "ascending"), ("d2c", "ascending")])
+            own = table.column("one")[0].as_py() == table.column("two")[0].as_py()
+            asking = table.filter(table.column("asks"))
+            other = asking if own else table.filter(pa.compute.invert(table.column("asks")))
+            q, ids = matrix(asking.column("embedding")), asking.column("vec_id").to_numpy()
+            x, found = matrix(other.column("embedding")), other.column("vec_id").to_numpy()
+            copy = np.arange(len(ids)) - np.searchsorted(ids, ids)  # tells rows of one id apart
+            centre = shared.value[table.column("list_id")[0].as_py()] if len(table) else 0
+            keep = min(k, len(found) - own) if len(ids) else 0
+            parts: dict[str, list] = {n: [[], [], []] for n in names}
+            left = x - centre
+            norm = np.linalg.norm(left, axis=1)
+            norm = np.where(norm == 0, 1, norm)
+            for at in range(0, len(ids), SUB_STEP):
+                some = q[at : at + SUB_STEP]
+                mine = some - centre
+                size = np.linalg.norm(mine, axis=1)
+                d2 = KERNELS["l2"](some, x)
+                cosine = (mine @ left.T) / np.where(size == 0, 1, size)[:, None] / norm[None, :]
+                for name, key, value in (("near", d2, np.sqrt(d2)), ("cos_near", -cosine, cosine), ("cos_far", cosine, cosine)):
+                    key = rounded(key)
+                    if own:
+                        key[np.arange(len(some)), at + np.arange(len(some))] = np.inf
+                    order = np.lexsort((np.broadcast_to(found, key.shape), key), axis=1)[:, :keep]
+                    for out, y in zip(parts[name], (np.take_along_axis(key, order, axis=1), found[order], np.take_along_axis(value, order, axis=1)), strict=True):
+                        out.append(y.ravel())
+            cuts = pa.array(np.arange(len(ids) + 1) * keep, pa.int32())
+            columns = [asking.column("list_id"), asking.column("vec_id"), pa.array(copy)]
+            # what belongs to the row comes once, from its own block
+            columns += [asking.column(c) if own else pa.nulls(len(ids), asking.schema.field(c).type) for c in ("embedding", "d2c", "r")]
+            for name in names:
+                a, b, c = (np.concatenate(y) if y else np.zeros(0) for y in parts[name])
+                best = pa.StructArray.from_arrays([pa.array(a, pa.float64()), pa.array(b.astype(np.int64)), pa.array(c, pa.float64())], names=["key", "id", "value"])
+                columns.append(pa.ListArray.from_arrays(cuts, best))
+            return pa.table(columns, names=["list_id", "vec_id", "copy", "embedding", "d2c", "r", *names])
+
+        best = ", ".join(f"{n} array<struct<key: double, id: long, value: double>>" for n in names)
+        done = asks.union(met).groupBy("list_id", "one", "two").applyInArrow(run, f"list_id int, vec_id long, copy long, embedding {kind}, d2c double, r double, {best}")
+        whole = [F.first(c, ignorenulls=True).alias(c) for c in ("embedding", "d2c", "r")]
+        kept = [F.slice(F.sort_array(F.flatten(F.collect_list(n))), 1, k).alias(n) for n in names]
+        rows = done.groupBy("list_id", "vec_id", "copy").agg(*whole, *kept)
+        pairs = [F.col(n).getField(f).alias(n + end) for n in names for f, end in (("id", "_ids"), ("value", ""))]
+        return replace(self, rows=rows.select(*base, *pairs))
 
     # --- searching ------------------------------------------------------------------------
 

@@ -13,6 +13,13 @@ def test_same_rows_as_sql(spark, small, duck, name):
     assert canonical(got) == canonical(want)
 
 
+@pytest.mark.parametrize("name", ["subnn_l2", "subnn_cos_near", "subnn_cos_far"])
+def test_neighbours_across_blocks(spark, small, duck, monkeypatch, name):
+    """Lists of several blocks give the SQL's rows, too."""
+    monkeypatch.setattr("tessera.operators.ivf.SUB_BLOCK", 20)
+    assert canonical(QUERIES[name](spark, small).toPandas()) == canonical(duck.sql(ORACLES[name]).df())
+
+
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_runs(spark, small, name):
     assert QUERIES[name](spark, small).count() > 0
