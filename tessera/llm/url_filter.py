@@ -55,7 +55,7 @@ PATTERN_RULES = (
     Rule("bets", r"://([^/?#]*\.)?free-bets\.", "block", "url", ("free", "bets")),
     Rule("ads", r"://([^/?#]*\.)?ads-track\.", "block", "url", ("ads", "track")),
     Rule("session", r"[?&;]phpsessid=", "block", "url", ("phpsessid",)),
-    Rule("login", r"/(wp-)?login\.php", "block", "url", ("login", "php")),
+    Rule("login", r"/(wp-)?login\.php", "block", "url", ("login",)),
 )
 
 

@@ -125,6 +125,14 @@ def test_lines_that_recur_verbatim(spark, documents):
                 assert re.search(r"\d", line) or len(WORD.findall(line)) >= line_templates.SHORTEST
 
 
+def test_login_rule_is_found_whatever_the_counts():
+    """A URL that the rule matches has the token it is filed under: /login.php5 has no token php."""
+    rule = [r for r in url_filter.PATTERN_RULES if r.name == "login"]
+    url = "https://a.com/login.php5"
+    filed = url_filter.build_index(tuple(rule), {"login": 9, "php": 1})
+    assert re.search(rule[0].pattern, url) and set(filed) & set(re.split("[^a-z0-9]+", url))
+
+
 def test_templates_of_a_large_leaf(spark, monkeypatch):
     """All lines of a leaf meet, however many they are: each template keeps its first line alone."""
     monkeypatch.setattr(line_templates, "BLOCK", 64)
