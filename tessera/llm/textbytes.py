@@ -46,7 +46,7 @@ def _powers(base: int, n: int) -> np.ndarray:
 _POWERS: dict[str, np.ndarray] = {}
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_POWERS.get("up", ())) < n:
         size = max(n, _BLOCK + 1)
         up, down = _powers(_BASE, size), _powers(_INVERSE, size)
@@ -71,7 +71,7 @@ def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def parts(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def parts(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Consecutive slices of the batches with at most `most` bytes of text each, or one row."""
     for batch in batches:
         data, offsets = bytes_of(batch.column(batch.schema.get_field_index(column)))
@@ -106,7 +106,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: b
         begin = starts[at]
         to = max(at + 1, int(np.searchsorted(ends, begin + _BLOCK, "right")))
         stop = ends[to - 1]
-        up, down = _power_tables(int(stop - begin) + 1)
+        up, down = power_tables(int(stop - begin) + 1)
         sums = np.zeros(stop - begin + 1, dtype=np.uint64)
         np.cumsum(table[data[begin:stop]] * up[: stop - begin], out=sums[1:])
         s, e = starts[at:to] - begin, ends[at:to] - begin

@@ -7,11 +7,13 @@ Two deterministic transducers replace the tokenizer:
   the maps are composed by a parallel prefix scan, so every chunk then knows its first state and
   reports its marks in one more pass. Chunks don't follow words or documents, so a text of any
   length costs the same a character;
-* the counter reads a pre-token's bytes. Its transition from a prefix to the prefix with one more
-  byte is annotated with the change in emitted tokens, which follows from the prefix's last token:
-  a sequence of tokens is what BPE makes of its bytes if and only if each two neighbours are what
-  BPE makes of theirs. It is determinised as far as the texts need and sums are remembered by
-  pre-token.
+* the counter reads a pre-token's bytes. It is the token trie under the grammar of token pairs
+  (lattice.Merges), whose one path of finite weight emits a token an arc. Paths are found for many
+  different pre-tokens at a time and their counts remembered within bounds.
+
+Each transition of the cutter is annotated with what it emits (the tokens of the pre-token that it
+opens, one for a special token); the sums run through all chunks by a scan, and a text's count is
+the difference between where it closes and where the text before it closes.
 
 Special tokens inside a text are one token each, as the library has it by default.
 
@@ -30,10 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.textbytes import parts
+from tessera.llm.common import small_batches
+from tessera.llm.lattice import Lexicon, Memo, Merges, put_together, shortest
+from tessera.llm.textbytes import parts, word_hashes
 
 CHUNK = 256
 _EARLY = 16
+_PRE_TOKENS = 200_000
 #: Unicode's White_Space.
 _SPACES = [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 
@@ -154,8 +159,6 @@ def _byte_letters() -> dict[str, int]:
 class Tokenizer:
     """Counts tokens as the tokenizer of a .json file does. content: the file's text."""
 
-    REMEMBERED = 400_000
-
     def __init__(self, content: str):
         spec = json.loads(content)
         cut = spec["pre_tokenizer"]
@@ -163,117 +166,82 @@ class Tokenizer:
             raise ValueError("only byte-level BPE without a normaliser or prefix space is compiled here")
         letters = _byte_letters()
         spell = lambda x: bytes(letters[c] for c in x)
-        pairs = [x.split(" ") if isinstance(x, str) else x for x in spec["model"]["merges"]]
-        self.rank = {(spell(a), spell(b)): i for i, (a, b) in reversed(list(enumerate(pairs)))}
-        self.tokens = {a + b for a, b in self.rank} | {bytes([b]) for b in range(256)}
-        by_end: dict[bytes, set[int]] = {}
-        for t in self.tokens:
-            by_end.setdefault(t[-2:], set()).add(len(t))
-        #: lengths of the tokens that end in these two bytes, longest first
-        self.lengths = {k: tuple(sorted(v | {1}, reverse=True)) for k, v in by_end.items()}
+        merges = [tuple(map(spell, x.split(" ") if isinstance(x, str) else x)) for x in spec["model"]["merges"]]
+        number = {bytes([b]): b for b in range(256)} | {a + b: 256 + i for i, (a, b) in enumerate(merges)}
+        if len(number) != 256 + len(merges):
+            raise ValueError("two merges that make the same token have no defined order here")
+        n = len(number)
+        rank, left, right = np.full(n, -1), np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
+        rank[256:] = np.arange(len(merges))
+        left[256:], right[256:] = [number[a] for a, _ in merges], [number[b] for _, b in merges]
+        self.grammar = Merges(rank, left, right, (left[256:], right[256:], rank[256:]))
+        # tokens that merging makes of their own bytes
+        made = np.ones(n, dtype=bool)
+        made[256:] = self.grammar.allowed(left[256:], right[256:], rank[256:])
+        for i in range(256, n):
+            made[i] &= made[left[i]] and made[right[i]]
+        self.lexicon = Lexicon([tuple(t) if made[i] else () for t, i in number.items()], 256)
         self.specials = [x["content"] for x in spec["added_tokens"]]
         self.kinds = _class_table()
-        self.fits: dict[tuple[bytes, bytes], bool] = {}
-        self.known: dict[str, int] = {}
-        #: states reached so far: a prefix's last token and the tokens emitted for it
-        self.states: dict[bytes, tuple[bytes, int]] = {b"": (b"", 0)}
-
-    def merged(self, symbols: list[bytes]) -> list[bytes]:
-        """BPE itself: the least merge, leftmost first, until none is left."""
-        rank, none = self.rank.get, 1 << 60
-        while len(symbols) > 1:
-            ranks = [rank(pair, none) for pair in zip(symbols, symbols[1:])]
-            least = min(ranks)
-            if least == none:
-                break
-            best = ranks.index(least)
-            symbols[best : best + 2] = [symbols[best] + symbols[best + 1]]
-        return symbols
-
-    def _fit(self, a: bytes, b: bytes) -> bool:
-        found = self.fits.get((a, b))
-        if found is None:
-            found = self.merged([bytes([x]) for x in a + b]) == ([a, b] if a else [b])
-            if len(self.fits) > self.REMEMBERED:
-                self.fits.clear()
-            self.fits[a, b] = found
-        return found
-
-    def _last(self, word: bytes, end: int, last_of) -> tuple[bytes, int]:
-        """The last token of word[:end], and its length; last_of gives those of shorter prefixes."""
-        tokens, fits = self.tokens, self.fits
-        for size in self.lengths.get(word[max(0, end - 2) : end], (1,)):
-            token = word[end - size : end] if size <= end else None
-            if token in tokens:
-                before = last_of(end - size)
-                found = fits.get((before, token))
-                if found or found is None and self._fit(before, token):
-                    return token, size
-        return word[end - 1 : end], 1
-
-    def transitions(self, word: bytes) -> list[tuple[bytes, int]]:
-        """For each prefix of the word its last token and the change in emitted tokens."""
-        lasts, counts = [b""], [0]
-        for end in range(1, len(word) + 1):
-            token, size = self._last(word, end, lasts.__getitem__)
-            lasts.append(token)
-            counts.append(counts[end - size] + 1)
-        return [(t, counts[i + 1] - counts[i]) for i, t in enumerate(lasts[1:])]
-
-    def word(self, word: str) -> int:
-        """Tokens of a pre-token: the sum of the changes along its path."""
-        if len(word) > 40:
-            return sum(change for _, change in self.transitions(word.encode()))
-        if len(self.known) > self.REMEMBERED:
-            self.known.clear()
-        if len(self.states) > self.REMEMBERED:
-            self.states = {b"": (b"", 0)}
-        raw, states = word.encode(), self.states
-        end = len(raw)
-        while raw[:end] not in states:
-            end -= 1
-        while end < len(raw):
-            end += 1
-            token, size = self._last(raw, end, lambda x: states[raw[:x]][0])
-            states[raw[:end]] = token, states[raw[: end - size]][1] + 1
-        found = self.known[word] = states[raw][1]
-        return found
+        self.memo: Memo | None = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"memo": None}
+
+    def _counted(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Tokens of these pre-tokens: the arcs of the path that the counter takes through each."""
+        self.memo = memo = self.memo or Memo()
+        hashes = word_hashes(data, starts, ends)
+        out = []
+        for at in range(0, len(starts), _PRE_TOKENS):
+            own = hashes[at : at + _PRE_TOKENS]
+            entry = memo.get(own)
+            new = np.flatnonzero(entry < 0)
+            if len(new):
+                if not memo.room(len(new)):
+                    memo.forget()
+                    new = np.arange(len(own))
+                _, once = np.unique(own[new], return_index=True)
+                some = at + new[once]
+                _, _, counts = shortest(self.lexicon, self.grammar, *put_together(data, starts[some], ends[some]))
+                memo.put(hashes[some], np.ones(len(some), np.int64), counts)
+                entry = memo.get(own)
+            out.append(memo.gather(entry))
+        return np.concatenate(out) if out else np.zeros(0, np.int32)
 
     def count(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Tokens of each of the texts that lie one after another in data."""
         rows = len(offsets) - 1
-        out = np.zeros(rows, dtype=np.int64)
         if not len(data):
-            return out
-        raw = data.tobytes()
-        text = raw.decode()
-        chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-        bounds = chars[offsets]
+            return np.zeros(rows, dtype=np.int64)
+        text = data.tobytes().decode()
+        lead = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
+        bounds = np.searchsorted(lead, offsets)
         kinds = self.kinds[np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)]
+        emitted = np.zeros(len(kinds) + rows, dtype=np.int64)
         for special in self.specials:
             at = text.find(special)
             while at >= 0:
                 row = int(np.searchsorted(bounds, at, "right")) - 1
                 if at + len(special) <= bounds[row + 1]:
                     kinds[at : at + len(special)] = _RESET
-                    out[row] += 1
+                    emitted[at + row] = 1
                     at = text.find(special, at + len(special))
                 else:
                     at = text.find(special, at + 1)
         # a reset after each text
         kinds = np.insert(kinds, bounds[1:], _RESET)
         found = marks(kinds)
-        begins = np.zeros(len(kinds), dtype=bool)
-        begins[(found & 1) != 0] = True
+        begins = (found & 1) != 0
         begins[np.flatnonzero(found & 2) - 1] = True
         events = np.flatnonzero(begins | (kinds == _RESET))
         is_word = kinds[events] != _RESET
         starts, ends = events[:-1][is_word[:-1]], events[1:][is_word[:-1]]
-        row = np.searchsorted(bounds[1:] + np.arange(1, rows + 1), starts, "right")
-        known, word = self.known, self.word
-        counts = [known.get(w) or word(w) for w in map(text.__getitem__, map(slice, (starts - row).tolist(), (ends - row).tolist()))]
-        out += np.bincount(row, weights=counts, minlength=rows).astype(np.int64)
-        return out
+        closes = bounds[1:] + np.arange(1, rows + 1)
+        row = np.searchsorted(closes, starts, "right")
+        emitted[starts] += self._counted(data, lead[starts - row], lead[ends - row])
+        # what the transitions emit, summed up by a scan and read off where texts close
+        return np.diff(np.concatenate([[0], np.cumsum(emitted)[closes - 1]]))
 
 
 _COMPILED: dict[int, Tokenizer] = {}
@@ -290,12 +258,14 @@ def compiled(content: str) -> Tokenizer:
 
 def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 512, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit. tokenizer: path of a .json file that the driver reads;
-    the workers get its content (a vocabulary, so its size doesn't follow the data)."""
+    compiles; the workers get the arrays (a
+    vocabulary, so their size doesn't follow the data)."""
+    small_batches(docs.sparkSession)
     with open(tokenizer, encoding="utf-8") as f:
-        content = docs.sparkSession.sparkContext.broadcast(f.read())
+        shared = docs.sparkSession.sparkContext.broadcast(compiled(f.read()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = compiled(content.value)
+        counter = shared.value
         for part, data, offsets in parts(batches, "text", 1 << 20):
             counts = counter.count(data, offsets)
             yield pa.RecordBatch.from_arrays(
