@@ -15,11 +15,14 @@ leading zeros and MANTISSA further bits. The work is done for each different set
 5. connect: links become components. A bucket whose nodes are then of one component is done. In the
    others a node that has too few shingles in common with any other of them drops out (a bound on
    the exact similarity, which rules out documents that only share passages), the node that shares
-   most of its own is compared with the rest, and so on for ROUNDS nodes. What is still apart then
+   most of its own is compared with the rest (ROUNDS times). What is still apart then
    is paired across components, whole: sets that share a shingle which at most RARE of them have, by
    that shingle, and others by bucket as far as their common shingles alone can reach the threshold.
 
-Nothing about documents reaches the driver, and no bucket is gathered into one task.
+Texts are read twice: all of them for the sketches, and those of nodes that share a bucket for their
+full sets, which are kept by node from then on. Nothing about documents reaches the driver. A bucket
+with many nodes is joined as sorted runs, which Spark splits where a partition is skewed (adaptive
+skew joins); the other side has one row for it.
 
 Defined results: documents without words, and null texts, have no shingles, are linked with
 nothing and kept; repeated rows are equal documents; a document whose id is null takes part, and
@@ -37,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialise
+from tessera.llm.common import Scratch, materialise, small_batches
 from tessera.llm.components import components
 from tessera.llm.textbytes import mix, parts, shingle_sets, word_bounds, word_hashes
 
@@ -46,7 +49,7 @@ REGISTERS = 1 << BUCKET_BITS
 MANTISSA = 10
 ROWS = 6
 BANDS = REGISTERS // ROWS
-ROUNDS = 3
+ROUNDS = 1
 RARE = 4
 SIGMAS = 5.0
 #: Two longs a row: at most 16 MB are broadcast.
@@ -142,30 +145,18 @@ def _name(hashes: np.ndarray) -> int:
     return int(mix(np.array([total + np.uint64(len(hashes))], np.uint64)).view(np.int64)[0])
 
 
-def _keys(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, fetch, n_shingles, node."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, data, offsets in parts(batches, "text"):
-            sets = _sets(part, data, offsets, size)
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([_name(s) for s in sets], pa.int64())],
-                names=["doc_id", "fetch", "n_shingles", "node"],
-            )
-
-    return docs.mapInArrow(run, "doc_id long, fetch long, n_shingles long, node long")
-
-
 def _sketched(docs: DataFrame, size: int) -> DataFrame:
+    """doc_id, fetch, n_shingles, node, registers: the one pass that reads all texts."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offsets in parts(batches, "text"):
             sets = _sets(part, data, offsets, size)
             yield pa.RecordBatch.from_arrays(
-                [part.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([_name(s) for s in sets], pa.int64()), pa.array([registers(s).tobytes() for s in sets], pa.binary())],
-                names=["fetch", "n_shingles", "node", "registers"],
+                [part.column(0), part.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([_name(s) for s in sets], pa.int64()), pa.array([registers(s).tobytes() for s in sets], pa.binary())],
+                names=["doc_id", "fetch", "n_shingles", "node", "registers"],
             )
 
-    return docs.mapInArrow(run, "fetch long, n_shingles long, node long, registers binary")
+    return docs.mapInArrow(run, "doc_id long, fetch long, n_shingles long, node long, registers binary")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -189,12 +180,15 @@ class _Search:
 
     def __init__(self, docs: DataFrame, size: int, percent: int):
         self.docs, self.size, self.percent = docs, size, percent
-        sketched = _sketched(docs, size).filter("n_shingles > 0")
+        self.scratch = Scratch(docs.sparkSession)
+        self.keep = self.scratch.keep
+        self.rows = self.keep(_sketched(docs, size), wide=True)
         # equal sets have equal registers, so any of a group's serves
-        nodes = sketched.groupBy("node").agg(F.min("fetch").alias("fetch"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers"))
-        self.nodes = materialise(_banded(nodes))
+        nodes = self.rows.filter("n_shingles > 0").groupBy("node").agg(F.min("fetch").alias("fetch"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers"))
+        self.nodes = self.keep(_banded(nodes), wide=True)
         self.links: list[DataFrame] = []
         self.known_roots: DataFrame | None = None
+        self.sets: DataFrame | None = None
 
     def likely(self, pairs: DataFrame) -> DataFrame:
         percent, least = self.percent, self.percent / 100
@@ -210,12 +204,30 @@ class _Search:
                     keep = (jaccard >= least - SIGMAS * error) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
                     yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(keep))
 
-        side = self.nodes.select("node", "registers", "n_shingles")
-        joined = pairs.join(side.toDF("u", "ru", "nu"), "u").join(side.toDF("v", "rv", "nv"), "v")
-        return joined.select("u", "v", "ru", "rv", "nu", "nv").mapInArrow(run, "u long, v long")
+        joined = self.both(pairs, self.nodes.select("node", "registers", "n_shingles"))
+        return joined.select("u", "v", "u_registers", "v_registers", "u_n_shingles", "v_n_shingles").mapInArrow(run, "u long, v long")
+
+    def both(self, pairs: DataFrame, table: DataFrame) -> DataFrame:
+        """pairs, which are materialised, with the table's columns of u and of v.
 
-    def sets(self, wanted: DataFrame) -> DataFrame:
-        """(node, hashes) for the nodes wanted."""
+        Up to BROADCAST_ROWS pairs go to where the rows of u are, so that a node of many pairs is no
+        hot key, and only rows of v move; more pairs are joined as sorted runs.
+        """
+        names = [c for c in table.columns if c != "node"]
+        side = lambda x: table.select(F.col("node").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in names])
+        if pairs.count() > BROADCAST_ROWS:
+            return pairs.join(side("u"), "u").join(side("v"), "v")
+        other = side("v").join(F.broadcast(pairs.select("v")), "v", "left_semi")
+        return side("u").join(F.broadcast(pairs), "u").join(other, "v")
+
+    def among(self, table: DataFrame, wanted: DataFrame) -> DataFrame:
+        """Rows of table whose node is in wanted, which is materialised."""
+        if wanted.count() <= BROADCAST_ROWS:  # else a shuffled join
+            wanted = F.broadcast(wanted)
+        return table.join(wanted.select("node"), "node", "left_semi")
+
+    def read_sets(self, wanted: DataFrame) -> DataFrame:
+        """(node, hashes) for the nodes wanted, from their texts."""
         size = self.size
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,11 +238,12 @@ class _Search:
                 # rows that share an id need not share a text
                 yield out.filter(pa.array(np.asarray(named) == part.column(1).to_numpy()))
 
-        where = materialise(self.nodes.join(wanted.select("node").distinct(), "node", "left_semi").select("fetch", "node"))
+        where = self.keep(self.nodes.join(wanted.select("node").distinct(), "node", "left_semi").select("fetch", "node"))
         if where.count() <= BROADCAST_ROWS:  # else a shuffled join
             where = F.broadcast(where)
         texts = self.docs.select("fetch", "text").join(where, "fetch").select("text", "node")
-        return texts.mapInArrow(run, "node long, hashes binary")
+        # repeated rows have the same id and the same set
+        return texts.mapInArrow(run, "node long, hashes binary").dropDuplicates(["node"])
 
     def confirmed(self, pairs: DataFrame) -> DataFrame:
         percent = self.percent
@@ -246,22 +259,22 @@ class _Search:
                     keep.append(100 * both >= percent * (len(a) + len(b) - both))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-        sets = self.sets(pairs.select(F.col("u").alias("node")).union(pairs.select("v")))
-        joined = pairs.join(sets.toDF("u", "hu"), "u").join(sets.toDF("v", "hv"), "v")
-        return joined.select("u", "v", "hu", "hv").mapInArrow(run, "u long, v long")
+        return self.both(pairs, self.sets).select("u", "v", "u_hashes", "v_hashes").mapInArrow(run, "u long, v long")
 
     def check(self, pairs: DataFrame) -> None:
-        likely = materialise(self.likely(pairs))
+        pairs = self.keep(pairs)
+        likely = self.keep(self.likely(pairs))
         if not likely.isEmpty():
-            links = materialise(self.confirmed(likely))
+            links = self.keep(self.confirmed(likely))
             if not links.isEmpty():
                 self.links.append(links)
                 self.known_roots = None
+        self.scratch.drop(pairs, likely)
 
     def roots(self) -> DataFrame:
         """(node, root) by all links found so far."""
         if self.known_roots is None:
-            self.known_roots = materialise(components(reduce(DataFrame.union, self.links)))
+            self.known_roots = self.keep(components(reduce(DataFrame.union, self.links)))
         return self.known_roots
 
     def shared_sizes(self, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -272,7 +285,7 @@ class _Search:
         as two can have in common that share no rarer one. The second table has the rare shingles
         of two sets or more.
         """
-        sets = self.sets(wanted)
+        sets = self.among(self.sets, wanted)
         size = 8
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,11 +296,11 @@ class _Search:
                 yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["node", "shingles"])
 
         each = sets.mapInArrow(run, "node long, shingles array<long>").select("node", F.explode("shingles").alias("shingle"))
-        each = materialise(each.distinct())
+        each = self.keep(each.distinct(), wide=True)
         counts = each.groupBy("shingle").agg(F.count("*").alias("df")).filter(f"df <= {RARE}")
-        rare = materialise(each.join(counts, "shingle"))
+        rare = self.keep(each.join(counts, "shingle"))
         few = rare.groupBy("node").agg(F.sum((F.col("df") == 1).cast("long")).alias("private"), F.count("*").alias("rare"))
-        sizes = self.nodes.select("node", F.col("n_shingles").alias("n")).join(wanted.select("node").distinct(), "node", "left_semi")
+        sizes = self.among(self.nodes.select("node", F.col("n_shingles").alias("n")), wanted)
         less = lambda c: F.col("n") - F.coalesce(c, F.lit(0))
         return sizes.join(few, "node", "left").select("node", "n", less("private").alias("most"), less("rare").alias("common")), rare.filter("df > 1").select("shingle", "node")
 
@@ -298,33 +311,37 @@ class _Search:
     def mixed(self, members: DataFrame) -> DataFrame:
         """Members of buckets whose nodes aren't of one component yet, with their root."""
         if self.links:
-            members = members.join(self.roots(), "node", "left").withColumn("root", F.coalesce("root", "node"))
+            roots = self.roots()
+            roots = F.broadcast(roots) if roots.count() <= BROADCAST_ROWS else roots
+            members = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         else:
             members = members.withColumn("root", F.col("node"))
         several = members.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("bucket")
-        return materialise(members.join(several, "bucket", "left_semi"))
+        return self.keep(members.join(several, "bucket", "left_semi"))
 
     def resolve(self, members: DataFrame) -> None:
         """Find the links within buckets; members: (bucket, node)."""
         heads = members.groupBy("bucket").agg(F.min("node").alias("head"), F.count("*").alias("n")).filter("n > 1")
-        found = materialise(members.join(heads, "bucket"))
+        found = self.keep(members.join(heads, "bucket"), wide=True)
+        self.sets = self.keep(self.read_sets(found.select("node")), wide=True)
         self.check(found.filter("node <> head").select(F.col("head").alias("u"), F.col("node").alias("v")).distinct())
         # two nodes are a head and one that was compared with it
         left = self.mixed(found.filter("n > 2").select("bucket", "node", "head"))
+        self.scratch.drop(found)
         if left.isEmpty():
             return
-        sizes, rare = self.shared_sizes(left.select("node"))
-        sizes = materialise(sizes)
-        left = materialise(left.join(sizes.filter(f"100 * most >= {self.percent} * n"), "node"))
+        sizes, rare = self.shared_sizes(self.keep(left.select("node").distinct()))
+        mixed, left = left, self.keep(left.join(sizes.filter(f"100 * most >= {self.percent} * n"), "node"))
+        self.scratch.drop(mixed)
         for _ in range(ROUNDS):
             # the node that shares most is the likeliest to be near all others
             centre = left.groupBy("bucket").agg(F.max(F.struct((F.col("common") / F.col("n")).alias("share"), "node", "root", "n", "most")).alias("c"))
-            centre = centre.select("bucket", F.col("c.node").alias("u"), F.col("c.root").alias("other"), F.col("c.n").alias("m"), F.col("c.most").alias("theirs"))
+            centre = self.keep(centre.select("bucket", F.col("c.node").alias("u"), F.col("c.root").alias("other"), F.col("c.n").alias("m"), F.col("c.most").alias("theirs")))
             near = left.join(centre, "bucket").filter((F.col("root") != F.col("other")) & self.possible("n", "most", "m", "theirs"))
             self.check(near.select(F.least("u", "node").alias("u"), F.greatest("u", "node").alias("v")).distinct())
-            left = self.mixed(left.drop("root"))
             # it has met every node of its bucket
-            left = materialise(left.join(centre.select("bucket", F.col("u").alias("node")), ["bucket", "node"], "left_anti"))
+            before, left = left, self.mixed(left.drop("root").join(centre.select("bucket", F.col("u").alias("node")), ["bucket", "node"], "left_anti"))
+            self.scratch.drop(before, centre)
             if left.isEmpty():
                 return
         # pairs that share a rare shingle: at most RARE partners for each
@@ -339,7 +356,8 @@ class _Search:
         apart = apart & (F.col("node") != F.col("head")) & (F.col("v") != F.col("first"))
         once = F.array_min(F.array_intersect("bands", "keys")) == F.col("bucket")
         many = left.join(other, (F.col("bucket") == F.col("met")) & apart & self.possible("n", "common", "m", "theirs") & once)
-        self.check(few.select(F.col("node").alias("u"), "v").union(many.select(F.col("node").alias("u"), "v")).distinct())
+        pairs = few.select(F.col("node").alias("u"), "v").union(many.select(F.col("node").alias("u"), "v"))
+        self.check(pairs.coalesce(self.scratch.tasks).distinct())
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = 4, percent: int = 80) -> DataFrame:
@@ -349,16 +367,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     are linked. A-Z count as a-z; all else in a word counts.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text)).alias("fetch"), F.coalesce(text, F.lit("")).alias("text"))
+    small_batches(docs.sparkSession)
     search = _Search(texts, size, percent)
+    try:
+        return materialise(_resolved(search))
+    finally:
+        search.scratch.close()
+
+
+def _resolved(search: _Search) -> DataFrame:
     search.resolve(search.nodes.select("node", F.explode("bands").alias("bucket")).select("bucket", "node"))
-    keys = _keys(texts, size)
+    keys = search.rows.select("doc_id", "n_shingles", "node")
     if search.links:
         roots = search.roots()
         group = F.coalesce("root", "node")
         keyed = keys.join(roots, "node", "left").withColumn("group", group).drop("root")
     else:
         keyed = keys.withColumn("group", F.col("node"))
-    keyed = materialise(keyed)
     lead = keyed.filter("n_shingles > 0").groupBy("group").agg(F.min("doc_id").alias("lead"), F.count("*").alias("n")).filter("n > 1").select("group", "lead")
     out = keyed.join(lead, "group", "left")
     component = F.coalesce("lead", "doc_id")
