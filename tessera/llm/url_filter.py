@@ -10,7 +10,10 @@ Priority: host rules first (the longest that fits), then pattern rules (an allow
 blocking one), then `allow`.
 
 Defined results: a null URL, or one without `://`, has an empty host and path, no rule, and is
-allowed by host rules; rows that repeat are judged each for itself; an empty table gives no rows.
+allowed by host rules; rows that repeat are judged each for itself; URLs of any length are judged
+whole; an empty table gives no rows; other columns pass through, but for those named as what judge
+adds, which are replaced. Rules and their index are part of the plan: some hundreds, not many
+thousands.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import LOWER, UPPER, let
+from tessera.llm.common import LOWER, UPPER
 
 
 @dataclass(frozen=True)
@@ -93,15 +96,22 @@ def build_index(rules: tuple[Rule, ...], counts: dict[str, int]) -> dict[str, li
     return index
 
 
+def _hits(rules: tuple[Rule, ...], scope: str, told) -> Column:
+    """What told says of each rule of a scope that is a candidate and fits, null for the others.
+
+    A rule's expression is a literal, compiled once, and runs only where the rule is a candidate.
+    """
+    subject = F.col("site" if scope == "site" else "lowered")
+    found = [F.when(F.array_contains("candidates", i) & F.rlike(subject, F.lit(r.pattern)), told(r)) for i, r in enumerate(rules) if r.scope == scope]
+    return F.array(*found) if found else F.array(F.when(F.lit(False), told(Rule("", "", "", scope, ()))))
+
+
 def judge(urls: DataFrame, column: str = "url", rules: tuple[Rule, ...] = SITE_RULES + PATTERN_RULES) -> DataFrame:
     """urls with host, path, rule (a site rule's name or null), pattern (a pattern rule's name or
     null), verdict and n_candidates, the number of rules whose expression was run. Columns of
     urls with those names are replaced."""
     index = build_index(rules, literal_counts(urls, column, rules))
     filed = F.create_map(*[x for k, v in sorted(index.items()) for x in (F.lit(k), F.array(*map(F.lit, v)))])
-    known = F.array(
-        *[F.struct(F.lit(r.name).alias("name"), F.lit(r.pattern).alias("pattern"), F.lit(r.action).alias("action"), F.lit(r.scope).alias("scope")) for r in rules]
-    )
     url = F.col("row").getField(column)
     host, path = split_url(url)
     at = urls.select(F.struct("*").alias("row"))
@@ -111,17 +121,10 @@ def judge(urls: DataFrame, column: str = "url", rules: tuple[Rule, ...] = SITE_R
         "candidates",
         F.flatten(F.filter(F.transform("tokens", lambda t: F.try_element_at(filed, t)), lambda x: x.isNotNull())),
     )
-    runs = F.filter(
-        F.transform("candidates", lambda i: F.get(known, i)),
-        lambda r: F.when(r.getField("scope") == "site", F.rlike(F.col("site"), r.getField("pattern"))).otherwise(F.rlike(F.col("lowered"), r.getField("pattern"))),
-    )
-    best = let(
-        runs,
-        lambda hits: F.struct(
-            F.array_max(F.transform(F.filter(hits, lambda r: r.getField("scope") == "site"), lambda r: F.struct(F.length(r.getField("name")).alias("n"), r.getField("name").alias("name"), r.getField("action").alias("action")))).alias("site"),
-            # "allow" sorts before "block"
-            F.array_min(F.transform(F.filter(hits, lambda r: r.getField("scope") == "url"), lambda r: F.struct(r.getField("action").alias("action"), r.getField("name").alias("name")))).alias("url"),
-        ),
+    best = F.struct(
+        F.array_max(_hits(rules, "site", lambda r: F.struct(F.lit(len(r.name)).alias("n"), F.lit(r.name).alias("name"), F.lit(r.action).alias("action")))).alias("site"),
+        # "allow" sorts before "block"
+        F.array_min(_hits(rules, "url", lambda r: F.struct(F.lit(r.action).alias("action"), F.lit(r.name).alias("name")))).alias("url"),
     )
     at = at.withColumn("best", best)
     new = {
