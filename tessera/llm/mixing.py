@@ -11,8 +11,8 @@ sums are accumulated over cells, and only the one cell that crosses the budget i
 
 Defined results: a null text has size 0; a null source is a source of its own, the last; documents
 of size 0 are taken in complete epochs only for nothing (taken 0); rows alike in id, size and text
-are interchangeable and ordered arbitrarily among themselves; an empty table gives no rows; other
-columns don't matter, whatever their names.
+are interchangeable and share one decision; an empty table gives no rows; other columns don't
+matter, whatever their names. Texts of any length count whole.
 """
 
 from __future__ import annotations
@@ -20,21 +20,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialise, words
+from tessera.llm import rule_ledger
+from tessera.llm.common import let, materialise, words
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
 MOST = 2.0
 CELL_ROWS = 4096
+#: The plan has a row a source and is broadcast; more sources than this are an error.
+MOST_SOURCES = 50_000
 SEED = 42
 
 
-def quality_weight(text: Column) -> Column:
-    """Weight of a document in the sample, from 0.5 to 1.5: the share of its characters that are
-    neither white space nor among the symbols of markup and junk."""
+def quality_weight(text: Column, n_words: Column) -> Column:
+    """Weight of a document in the sample, from 0.25 to 1: how far it stays from the limits of the
+    quality rules (rule_ledger.RULES) on length, symbols, repeated lines and capitals."""
     text = F.coalesce(text, F.lit(""))
-    plain = F.length(F.regexp_replace(text, r"[\x20\x09-\x0D#*$%&|<>!_=~^+\\]+", ""))
-    return 0.5 + F.when(F.length(text) > 0, plain / F.length(text)).otherwise(F.lit(0.0))
+    share = lambda a, b: F.least(F.lit(1.0), F.coalesce(a / F.nullif(b, F.lit(0)), F.lit(0.0)))
+    m, lines = rule_ledger.counts(text), rule_ledger.line_counts(text)
+    repeated = let(lines, lambda x: share(2 * x.getField("dup"), x.getField("n")))
+    clean = (1 - share(4 * m["n_symbols"], n_words)) * (1 - repeated) * (1 - share(2 * m["n_upper"], m["word_chars"]))
+    return 0.25 + 0.75 * clean * F.least(F.lit(1.0), n_words / 20)
 
 
 def targets(sizes: list[tuple[str | None, int]], weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> dict:
@@ -64,16 +70,16 @@ def _narrow(docs: DataFrame, id_col: str, text: str, source: str, weight: Column
     """docs, each row in a struct `doc`, with what its decision rests on."""
     row = docs.select(F.struct("*").alias("doc"))
     body = F.col("doc").getField(text)
-    weight = quality_weight(body) if weight is None else weight
+    if weight is None:
+        weight = quality_weight(body, F.col("size"))
     draw = F.xxhash64(F.lit(seed), F.col("doc").getField(id_col), F.coalesce(body, F.lit("")))
     row = row.select(
         "doc",
         F.col("doc").getField(id_col).alias("doc_id"),
         F.size(words(body)).cast("long").alias("size"),
         F.col("doc").getField(source).alias("source"),
-        weight.cast("double").alias("weight"),
         draw.alias("draw"),
-    )
+    ).withColumn("weight", weight.cast("double"))
     # u in (0, 1); 1 - u ** (1 / weight) orders as the exponential key does and stays in (0, 1)
     u = (F.shiftrightunsigned("draw", 11).cast("double") + 0.5) / F.lit(float(1 << 53))
     return row.withColumn("place", 1 - F.pow(u, 1 / F.col("weight")))
@@ -85,7 +91,10 @@ _ORDER = ("place", "doc_id", "size", "draw")
 def _plan(narrow: DataFrame, weights, share: float, most: float) -> DataFrame:
     """One row a source: source_size, target, epochs and cut, the last document sampled (null: none)."""
     spark = narrow.sparkSession
-    sums = [(r["source"], r["size"], r["n"]) for r in narrow.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()]
+    found = narrow.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).limit(MOST_SOURCES + 1).collect()
+    if len(found) > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources: their plan isn't sent to every task")
+    sums = [(r["source"], r["size"], r["n"]) for r in found]
     aims = targets([(name, size) for name, size, _ in sums], weights, share, most)
     plan = spark.createDataFrame(
         [(name, size, aims[name], *_epochs(aims[name], size), max(1, n // CELL_ROWS)) for name, size, n in sums],

@@ -99,6 +99,21 @@ def _covered(tokens: Column, windows: Column) -> Column:
     )
 
 
+def line_counts(text: Column) -> Column:
+    """struct(n, dup): lines with a word, and those equal to an earlier one."""
+    lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.regexp_replace(x, BLANKS, "")) > 0)
+    return let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup")))
+
+
+def counts(text: Column) -> dict[str, Column]:
+    """The measurements that need no word windows, of a text that isn't null."""
+    return {
+        "word_chars": F.length(F.regexp_replace(text, BLANKS, "")).cast("long"),
+        "n_symbols": _removed(text, r"[#*$%&|<>]+"),
+        "n_upper": _removed(text, r"\p{Lu}+"),
+    }
+
+
 def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with two more columns: `measured` (a struct of MEASURES) and `failed` (rule bits).
 
@@ -112,28 +127,15 @@ def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
     row = row.withColumn("h4", _pairs(F.col("h2"), 2)).drop("h2")
     row = row.withColumn("h8", _pairs(F.col("h4"), 4)).drop("h4")
     row = row.withColumn("h8", F.slice("h8", F.lit(1), F.greatest(F.size("words") - (WINDOW - 1), F.lit(0))))
-    lines = F.filter(F.split("text", "\n"), lambda x: F.length(F.regexp_replace(x, BLANKS, "")) > 0)
-    measured = {
+    measured = counts(F.col("text")) | {
         "n_words": F.size("words").cast("long"),
-        "word_chars": F.length(F.regexp_replace("text", BLANKS, "")).cast("long"),
-        "n_symbols": _removed(F.col("text"), r"[#*$%&|<>]+"),
         "n_lines": F.col("line_counts").getField("n"),
         "n_dup_lines": F.col("line_counts").getField("dup"),
-        "n_upper": _removed(F.col("text"), r"\p{Lu}+"),
         "n_repeat_words": F.when(
             F.size(F.array_distinct("h8")) < F.size("h8"), _covered(F.col("words"), F.col("h8"))
         ).otherwise(F.lit(0).cast("long")),
     }
-    row = row.withColumn(
-        "line_counts",
-        let(
-            lines,
-            lambda x: F.struct(
-                F.size(x).cast("long").alias("n"),
-                (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup"),
-            ),
-        ),
-    )
+    row = row.withColumn("line_counts", line_counts(F.col("text")))
     # as a generator's output, so that a filter on the verdict isn't pushed below the measuring and
     # doesn't measure again for every rule it names
     row = row.select("doc", F.explode(F.array(F.struct(*[measured[m].alias(m) for m in MEASURES]))).alias("measured"))
