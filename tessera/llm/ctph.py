@@ -12,8 +12,11 @@ an edit distance of insertions and deletions.
 All trigger positions of a text come from one vector pass, whatever the block sizes tried; edit
 distances are computed bit-parallel for many pairs at once.
 
-Defined results: a null text counts as empty; an empty text has the fingerprint "3::"; texts are
-hashed whole; equal texts have equal fingerprints.
+Defined results: a null text counts as empty; an empty text has the fingerprint "3::"; texts of any
+length are hashed whole (in a text that repeats itself, where one window cuts at every turn, only
+every so many cuts end a chunk); equal texts have equal fingerprints; repeated rows follow one
+another in the order of ids, each with a row of its own; an empty table gives no rows; other columns
+don't matter.
 """
 
 from __future__ import annotations
@@ -27,7 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.textbytes import _power_tables, mix
+from tessera.llm.common import small_batches
+from tessera.llm.textbytes import power_tables, mix
 
 WINDOW = 7
 LENGTH = 64
@@ -61,11 +65,14 @@ def fingerprints(texts: list[bytes]) -> list[str]:
     pad = bytes(WINDOW)
     data = np.frombuffer(pad + pad.join(texts), dtype=np.uint8)
     at, level = _triggers(data)
-    up, down = _power_tables(len(data) + 1)
+    up, down = power_tables(len(data) + 1)
     sums = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum(_CHUNK[data] * up[: len(data)], out=sums[1:])
 
     def signature(begin: int, end: int, cuts: np.ndarray, most: int) -> str:
+        if len(cuts) >= 2 * most:
+            # a text that repeats itself cuts too often or not at all: then by several cuts at once
+            cuts = cuts[:: -(-len(cuts) // most)]
         ends = cuts[: most - 1] + 1
         ends = ends if len(ends) and ends[-1] == end else np.append(ends, end)
         starts = np.concatenate([[begin], ends[:-1]])
@@ -208,6 +215,7 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "
     driver holds is a cut a run.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"))
     placed = narrow.filter("doc_id is not null")
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
