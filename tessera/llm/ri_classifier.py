@@ -14,8 +14,10 @@
 Labels, languages, sources and ids are no inputs of a score. Training and scoring have fixed seeds
 and orders: reruns agree.
 
-Defined results: null and empty texts are scored (their pooled vector is zero); without any
-training label every score is 0.5; repeated rows get equal scores; an empty table gives no rows.
+Defined results: null and empty texts are scored (their pooled vector is zero); texts of any length
+are pooled whole; without any training label every score is 0.5; of several labels of an id the
+least counts, and of several texts of a labelled id the one with the least pooled vector is trained
+on; repeated rows get equal scores; an empty table gives no rows; other columns don't matter.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialise
+from tessera.llm.common import materialise, small_batches
 from tessera.llm.textbytes import mix, parts, word_bounds, word_hashes
 
 ROWS = 1 << 14
@@ -200,12 +202,13 @@ def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col:
 
     Labels of rows whose fold is 0 are never read. Those of a null id, and null labels, don't count.
     """
+    small_batches(docs.sparkSession)
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"))
     vectors, counts = word_vectors(narrow)
     weights = (1e-3 / (1e-3 + counts / max(counts.sum(), 1))).astype(np.float32)
     known = labels.select(F.col(id_col).alias("doc_id"), F.col(label).cast("int").alias("label")).filter(fold(F.col("doc_id")) != 0).dropna()
     # the bound on what is trained on: the first TRAINING ids in the order of a hash
-    known = known.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAINING)
+    known = known.groupBy("doc_id").agg(F.min("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAINING)
     known = materialise(known)
     shared = docs.sparkSession.sparkContext.broadcast((vectors, weights))
 
@@ -215,7 +218,8 @@ def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col:
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "label", "x"])
 
     trained_on = narrow.join(F.broadcast(known), "doc_id").select("doc_id", "label", "text")  # TRAINING rows at most
-    sample = trained_on.mapInArrow(pool, "doc_id long, label int, x binary").dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")
+    pooled_rows = trained_on.mapInArrow(pool, "doc_id long, label int, x binary")
+    sample = pooled_rows.groupBy("doc_id").agg(F.min("label").alias("label"), F.min("x").alias("x")).toPandas().sort_values("doc_id")
     network = None
     if len(sample):
         x = np.stack([np.frombuffer(b, dtype=np.float32) for b in sample["x"]]).astype(float)
