@@ -7,7 +7,8 @@ are variable, too. A template found in MIN_DOCS documents or more is dropped fro
 of them (by id), which keeps it.
 
 How it is laid out: a line travels as hashes (its leaf, its masked self), so counting moves a few
-dozen bytes a line. Only leaves with several different lines send tokens on, as 16-bit codes.
+dozen bytes a line. Only leaves with several different lines send tokens on, as 32-bit codes (two
+different tokens look alike in one of 4 * 10^9 comparisons).
 Templates form in a task as if it had the whole leaf. A leaf of more than BLOCK different lines is
 cut without loss: a line joins a template only if it agrees in SIMILAR of its positions with every
 line of it, and lines that do so have one of segments() in common; so lines that no chain of common
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialise
+from tessera.llm.common import materialise, small_batches
 from tessera.llm.components import components
 from tessera.llm.textbytes import mix, word_bounds, word_hashes
 
@@ -98,9 +99,9 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """leaf, masked and tokens (16-bit codes) of lines that may be generalised, once a block."""
+    """leaf, masked and tokens (32-bit codes) of lines that may be generalised, once a block."""
     for _, _, leaf, whole, count, hashes, first in _lines(batches):
-        codes = (hashes >> np.uint64(48)).astype(np.uint16)
+        codes = (hashes >> np.uint64(32)).astype(np.uint32)
         _, once = np.unique(whole, return_index=True)
         keep = [i for i in once.tolist() if count[i] >= SHORTEST]
         tokens = [codes[first[i] : first[i + 1]].tobytes() for i in keep]
@@ -121,8 +122,8 @@ def _segmented(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows, keys = [], []
         for leaf, masked, tokens in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            cuts = segments(len(tokens) // 2)
-            keys += [hashlib.blake2b(b"%d %d " % (leaf, i) + tokens[2 * a : 2 * b], digest_size=8).digest() for i, (a, b) in enumerate(cuts)]
+            cuts = segments(len(tokens) // 4)
+            keys += [hashlib.blake2b(b"%d %d " % (leaf, i) + tokens[4 * a : 4 * b], digest_size=8).digest() for i, (a, b) in enumerate(cuts)]
             rows += [masked] * len(cuts)
         yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(np.frombuffer(b"".join(keys), dtype=np.int64))], names=["masked", "segment"])
 
@@ -167,7 +168,7 @@ def _grown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     template) of those that share a template, which is named by its first line."""
 
     def out(run: list[tuple]) -> pa.RecordBatch:
-        member = form_templates(np.stack([np.frombuffer(x[3], dtype=np.uint16) for x in run]))
+        member = form_templates(np.stack([np.frombuffer(x[3], dtype=np.uint32) for x in run]))
         shared = np.bincount(member)[member] > 1
         _, first = np.unique(member, return_index=True)
         masked = np.array([x[2] for x in run], dtype=np.int64)
@@ -230,6 +231,7 @@ def recurring(keyed: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
 
 def drop_recurring(docs: DataFrame, min_docs: int = MIN_DOCS, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with `text` less the lines dropped, and n_lines and n_dropped (replaced if there)."""
+    small_batches(docs.sparkSession)
     row = docs.select(F.struct("*").alias("doc"))
     row = row.select("doc", F.xxhash64(F.col("doc").getField(id_col), F.col("doc").getField(text)).alias("key"))
     whole = F.coalesce(F.col("doc").getField(text), F.lit(""))
