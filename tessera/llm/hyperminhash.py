@@ -17,7 +17,8 @@ leading zeros and MANTISSA further bits. The work is done for each different set
    the exact similarity, which rules out documents that only share passages), the node that shares
    most of its own is compared with the rest (ROUNDS times). What is still apart then
    is paired across components, whole: sets that share a shingle which at most RARE of them have, by
-   that shingle, and others by bucket as far as their common shingles alone can reach the threshold.
+   that shingle, and others by bucket as far as their common shingles alone can reach the threshold;
+   a pair is made only if enough registers agree for its estimate to pass.
 
 Texts are read twice: all of them for the sketches, and those of nodes that share a bucket for their
 full sets, which are kept by node from then on. Nothing about documents reaches the driver. A bucket
@@ -40,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Scratch, materialise, small_batches
+from tessera.llm.common import Scratch, let, materialise, small_batches
 from tessera.llm.components import components
 from tessera.llm.textbytes import mix, parts, shingle_sets, word_bounds, word_hashes
 
@@ -160,7 +161,7 @@ def _sketched(docs: DataFrame, size: int) -> DataFrame:
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint16).reshape(len(column), REGISTERS)
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.int16, copy=False).view(np.uint16).reshape(len(column), REGISTERS)
 
 
 def _banded(nodes: DataFrame) -> DataFrame:
@@ -168,11 +169,13 @@ def _banded(nodes: DataFrame) -> DataFrame:
         for whole in batches:
             for at in range(0, whole.num_rows, 1024):
                 batch = whole.slice(at, 1024)
-                keys = band_keys(densified(_matrix(batch.column(3))))
+                sketches = np.frombuffer(b"".join(batch.column(3).to_pylist()), dtype=np.uint16).reshape(len(batch), REGISTERS)
+                keys = band_keys(densified(sketches))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS), pa.int32()), pa.array(keys.ravel()))
-                yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=["node", "fetch", "n_shingles", "registers", "bands"])
+                held = pa.ListArray.from_arrays(pa.array(np.arange(0, sketches.size + 1, REGISTERS), pa.int32()), pa.array(sketches.view(np.int16).ravel()))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], held, lists], names=["node", "fetch", "n_shingles", "registers", "bands"])
 
-    return nodes.mapInArrow(run, "node long, fetch long, n_shingles long, registers binary, bands array<long>")
+    return nodes.mapInArrow(run, "node long, fetch long, n_shingles long, registers array<smallint>, bands array<long>")
 
 
 class _Search:
@@ -261,9 +264,10 @@ class _Search:
 
         return self.both(pairs, self.sets).select("u", "v", "u_hashes", "v_hashes").mapInArrow(run, "u long, v long")
 
-    def check(self, pairs: DataFrame) -> None:
+    def check(self, pairs: DataFrame, estimated: bool = False) -> None:
+        """Finds the links among pairs; estimated: if they were made by alike()."""
         pairs = self.keep(pairs)
-        likely = self.keep(self.likely(pairs))
+        likely = pairs if estimated else self.keep(self.likely(pairs))
         if not likely.isEmpty():
             links = self.keep(self.confirmed(likely))
             if not links.isEmpty():
@@ -308,6 +312,18 @@ class _Search:
         """Whether two sets of these sizes and most common shingles can reach the threshold."""
         return (100 + self.percent) * F.least(most, other) >= self.percent * (F.col(n) + F.col(m))
 
+    def alike(self, a: str, b: str):
+        """Whether so many registers agree that the estimate may pass: what likely() tests, without the
+        correction for accidental agreement, which only lowers an estimate."""
+        each = F.zip_with(a, b, lambda x, y: F.when((x == y) & (x != 0), 1001).when((x != 0) | (y != 0), 1000).otherwise(0))
+        least = self.percent / 100
+
+        def enough(total):
+            used = F.floor(total / 1000)
+            return total % 1000 >= (F.lit(least) - SIGMAS * F.sqrt(F.lit(least * (1 - least)) / used)) * used
+
+        return let(F.aggregate(each, F.lit(0), lambda s, x: s + x), enough)
+
     def mixed(self, members: DataFrame) -> DataFrame:
         """Members of buckets whose nodes aren't of one component yet, with their root."""
         if self.links:
@@ -345,19 +361,20 @@ class _Search:
             if left.isEmpty():
                 return
         # pairs that share a rare shingle: at most RARE partners for each
-        nodes = left.select("node", "root", "n", "most").distinct()
-        a = rare.join(nodes, "node")
-        b = a.select("shingle", F.col("node").alias("v"), F.col("root").alias("other"), F.col("n").alias("m"), F.col("most").alias("theirs"))
+        nodes = self.keep(left.select("node", "root", "n", "most").distinct())
+        sketches = self.among(self.nodes.select("node", "registers", "bands"), nodes)
+        a = rare.join(nodes.join(sketches.drop("bands"), "node"), "node")
+        b = a.select("shingle", F.col("node").alias("v"), F.col("root").alias("other"), F.col("n").alias("m"), F.col("most").alias("theirs"), F.col("registers").alias("facing"))
         apart = (F.col("node") < F.col("v")) & (F.col("root") != F.col("other"))
-        few = a.join(b.withColumnRenamed("shingle", "same"), (F.col("shingle") == F.col("same")) & apart & self.possible("n", "most", "m", "theirs"))
+        few = a.join(b.withColumnRenamed("shingle", "same"), (F.col("shingle") == F.col("same")) & apart & self.possible("n", "most", "m", "theirs") & self.alike("registers", "facing"))
         # the others have common shingles alone; each is made in one of the buckets that it shares
-        left = left.join(self.nodes.select("node", "bands"), "node")
-        other = left.select(F.col("bucket").alias("met"), F.col("node").alias("v"), F.col("root").alias("other"), F.col("n").alias("m"), F.col("common").alias("theirs"), F.col("head").alias("first"), F.col("bands").alias("keys"))
+        left = left.join(sketches, "node")
+        other = left.select(F.col("bucket").alias("met"), F.col("node").alias("v"), F.col("root").alias("other"), F.col("n").alias("m"), F.col("common").alias("theirs"), F.col("head").alias("first"), F.col("bands").alias("keys"), F.col("registers").alias("facing"))
         apart = apart & (F.col("node") != F.col("head")) & (F.col("v") != F.col("first"))
         once = F.array_min(F.array_intersect("bands", "keys")) == F.col("bucket")
-        many = left.join(other, (F.col("bucket") == F.col("met")) & apart & self.possible("n", "common", "m", "theirs") & once)
+        many = left.join(other, (F.col("bucket") == F.col("met")) & apart & self.possible("n", "common", "m", "theirs") & once & self.alike("registers", "facing"))
         pairs = few.select(F.col("node").alias("u"), "v").union(many.select(F.col("node").alias("u"), "v"))
-        self.check(pairs.coalesce(self.scratch.tasks).distinct())
+        self.check(pairs.coalesce(self.scratch.tasks).distinct(), estimated=True)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = 4, percent: int = 80) -> DataFrame:
