@@ -1,18 +1,32 @@
-"""The same distances for blocks of vectors, in numpy."""
+"""The same distances for blocks of vectors, in numpy.
+
+Where a distance has no meaning (the cosine of a zero vector, a ratio by zero) it is NaN here and
+null as a Column; a search never returns such a pair.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 
 #: Distances are ranked after rounding to this many units; ties are broken by id.
 UNITS = 1e6
+#: Queries whose distances to a step of the base are held at once.
+TILE = 256
 
 
 def rounded(d: np.ndarray) -> np.ndarray:
     return np.floor(d * UNITS + 0.5) / UNITS
 
 
+def tiles(n: int) -> Iterator[np.ndarray]:
+    """0 .. n - 1 in runs of TILE, so that a matrix of distances has one size for any block."""
+    for at in range(0, n, TILE):
+        yield np.arange(at, min(at + TILE, n))
+
+
 def matrix(column: pa.Array) -> np.ndarray:
     """(rows, d) of a list column without nulls, in double."""
     if isinstance(column, pa.ChunkedArray):
@@ -35,8 +49,15 @@ def _squared_l2(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.maximum((q**2).sum(axis=1)[:, None] + (x**2).sum(axis=1)[None, :] - 2 * (q @ x.T), 0)
 
 
+def _whole_l2(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Of vectors of whole numbers, exactly."""
+    q, x = q.astype(np.int64), x.astype(np.int64)
+    return ((q**2).sum(axis=1)[:, None] + (x**2).sum(axis=1)[None, :] - 2 * (q @ x.T)).astype(np.float64)
+
+
 def _cosine(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    return (q @ x.T) / (np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1)[None, :])
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return (q @ x.T) / (np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1)[None, :])
 
 
 def _canberra(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -49,17 +70,25 @@ def _jensen_shannon(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return 0.5 * (-a * np.log(m / a) - b * np.log(m / b)).sum(axis=2)
 
 
+def _ratio(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return np.where(b != 0, a / b, np.nan)
+
+
 KERNELS = {
     "l2": _squared_l2,
     "ip": lambda q, x: q @ x.T,
     "cosine": _cosine,
+    "ip_distance": lambda q, x: 1 - q @ x.T,
+    "cosine_distance": lambda q, x: 1 - _cosine(q, x),
+    "l2_whole": _whole_l2,
     "l1": lambda q, x: _wide(q, x, lambda a, b: np.abs(a - b).sum(axis=2)),
     "linf": lambda q, x: _wide(q, x, lambda a, b: np.abs(a - b).max(axis=2)),
     "lp": lambda q, x: _wide(q, x, lambda a, b: (np.abs(a - b) ** 3.0).sum(axis=2)),
     "canberra": lambda q, x: _wide(q, x, _canberra),
-    "bray_curtis": lambda q, x: _wide(q, x, lambda a, b: np.abs(a - b).sum(axis=2) / np.abs(a + b).sum(axis=2)),
+    "bray_curtis": lambda q, x: _wide(q, x, lambda a, b: _ratio(np.abs(a - b).sum(axis=2), np.abs(a + b).sum(axis=2))),
     "jensen_shannon": lambda q, x: _wide(q, x, _jensen_shannon),
-    "jaccard": lambda q, x: _wide(q, x, lambda a, b: np.minimum(a, b).sum(axis=2) / np.maximum(a, b).sum(axis=2)),
+    "jaccard": lambda q, x: _wide(q, x, lambda a, b: _ratio(np.minimum(a, b).sum(axis=2), np.maximum(a, b).sum(axis=2))),
 }
 
 
@@ -74,13 +103,12 @@ class Best:
     def offer(self, rows: np.ndarray, distances: np.ndarray, ids: np.ndarray, allowed: np.ndarray | None = None) -> None:
         """distances: (len(rows), len(ids)) for these queries; allowed masks them."""
         keys = self.sign * rounded(distances)
-        if allowed is not None:
-            keys = np.where(allowed, keys, np.inf)
+        keys = np.where(np.isnan(keys) if allowed is None else np.isnan(keys) | ~allowed, np.inf, keys)
         if keys.shape[1] > 4 * self.k:
             # all that tie with the k-th come along
             edge = np.partition(keys, self.k - 1, axis=1)[:, self.k - 1]
             edge = np.minimum(edge, self.keys[rows, -1])
-            some = np.flatnonzero((keys <= edge[:, None]).any(axis=0))
+            some = np.flatnonzero(((keys <= edge[:, None]) & np.isfinite(keys)).any(axis=0))
             keys, ids = keys[:, some], ids[some]
         every = np.concatenate([self.keys[rows], keys], axis=1)
         names = np.concatenate([self.ids[rows], np.broadcast_to(ids, keys.shape)], axis=1)
@@ -88,6 +116,11 @@ class Best:
         self.keys[rows] = np.take_along_axis(every, order, axis=1)
         self.ids[rows] = np.take_along_axis(names, order, axis=1)
 
+    def scan(self, q: np.ndarray, x: np.ndarray, ids: np.ndarray, kernel, allowed: np.ndarray | None = None) -> None:
+        """Offers all vectors x to all queries q, a tile of queries at a time."""
+        for rows in tiles(len(q)):
+            self.offer(rows, kernel(q[rows], x), ids, None if allowed is None else allowed[rows])
+
     def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query number, id, distance) of all that were found."""
         at, column = np.nonzero(np.isfinite(self.keys))

@@ -26,6 +26,11 @@ def squared_l2(a: Column, b: Column) -> Column:
     return total(_paired(a, b, lambda x, y: (x - y) * (x - y)))
 
 
+def whole_l2(a: Column, b: Column) -> Column:
+    """Squared L2 of vectors of whole numbers (bytes, say), in whole numbers."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("long") - y.cast("long")) * (x.cast("long") - y.cast("long"))), F.lit(0).cast("long"), lambda s, x: s + x)
+
+
 def inner_product(a: Column, b: Column) -> Column:
     return total(_paired(a, b, lambda x, y: x * y))
 
@@ -101,6 +106,13 @@ def multiply_add(a: Column, factor: float, b: Column) -> Column:
     return _paired(a, b, lambda x, y: x + F.lit(float(factor)) * y)
 
 
+def multiply_add_argmin(a: Column, factor: float, b: Column) -> Column:
+    """struct(at, least): the least entry of a + factor * b and its first position, from 0."""
+    made = multiply_add(a, factor, b)
+    least = F.array_min(made)
+    return F.struct((F.array_position(made, least) - 1).cast("int").alias("at"), least.alias("least"))
+
+
 def l2_from_inner_product(ip: Column, a: Column, b: Column) -> Column:
     return squared_norm(a) + squared_norm(b) - 2 * ip
 
@@ -157,6 +169,9 @@ METRICS = {
     "l2": (squared_l2, False),
     "ip": (inner_product, True),
     "cosine": (cosine, True),
+    "ip_distance": (lambda a, b: 1 - inner_product(a, b), False),
+    "cosine_distance": (lambda a, b: 1 - cosine(a, b), False),
+    "l2_whole": (lambda a, b: whole_l2(a, b).cast("double"), False),
     "l1": (l1, False),
     "linf": (linf, False),
     "lp": (lambda a, b: lp(a, b, 3.0), False),

@@ -70,6 +70,34 @@ def agreeing_ranks(a: DataFrame, b: DataFrame) -> DataFrame:
     return joined.groupBy("qid").agg(F.min(F.coalesce(F.col("x") == F.col("y"), F.lit(False))).alias("same"))
 
 
+def similarity(results: DataFrame, truth: DataFrame, epsilon: float = 1e-6, greater: bool = False) -> DataFrame:
+    """One row: mean share of a query's results that are in the truth or no farther than its farthest
+    there, by epsilon at most."""
+    edge = truth.groupBy("qid").agg((F.min if greater else F.max)("distance").alias("edge"))
+    same = truth.select("qid", "vec_id", F.lit(True).alias("same"))
+    near = F.col("distance") >= F.col("edge") - epsilon if greater else F.col("distance") <= F.col("edge") + epsilon
+    each = results.join(edge, "qid").join(same, ["qid", "vec_id"], "left").groupBy("qid").agg(F.avg((F.coalesce("same", F.lit(False)) | near).cast("double")).alias("share"))
+    return each.agg(F.avg("share").alias("similarity"))
+
+
+def compare_ranges(a: DataFrame, b: DataFrame) -> DataFrame:
+    """qid, only_a, only_b, moved: how two range results differ; moved pairs differ in distance."""
+    both = a.select("qid", "vec_id", F.col("distance").alias("x")).join(b.select("qid", "vec_id", F.col("distance").alias("y")), ["qid", "vec_id"], "full")
+    count = lambda c: F.sum(F.coalesce(c, F.lit(False)).cast("long"))
+    return both.groupBy("qid").agg(count(F.col("y").isNull()).alias("only_a"), count(F.col("x").isNull()).alias("only_b"), count(F.col("x") != F.col("y")).alias("moved"))
+
+
+def weighted_range_recall(results: DataFrame, truth: DataFrame, steps: list[tuple[float, float]]) -> DataFrame:
+    """One row: recall of a range search in which a pair counts by its distance. steps: (distance up to
+    which, weight), ascending; beyond the last a pair weighs nothing."""
+    weight = F.lit(0.0)
+    for edge, w in reversed(steps):
+        weight = F.when(F.col("distance") < edge, F.lit(float(w))).otherwise(weight)
+    hit = results.select("qid", "vec_id", F.lit(1.0).alias("hit"))
+    each = truth.join(hit, ["qid", "vec_id"], "left").select(weight.alias("w"), F.coalesce("hit", F.lit(0.0)).alias("hit"))
+    return each.agg((F.sum(F.col("w") * F.col("hit")) / F.nullif(F.sum("w"), F.lit(0.0))).alias("weighted_recall"))
+
+
 def pareto(points: DataFrame, performance: str = "performance", time: str = "time") -> DataFrame:
     """Points that no faster point matches in performance. points: a row a tuning run."""
     before = Window.orderBy(F.col(time), F.col(performance).desc()).rowsBetween(Window.unboundedPreceding, -1)

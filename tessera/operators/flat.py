@@ -15,23 +15,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.kernels import KERNELS, Best, matrix, rounded
+from tessera.functions.kernels import KERNELS, TILE, UNITS, Best, matrix, rounded, tiles
 from tessera.functions.vectors import METRICS
 from tessera.operators.topk import top_k
 
-#: What one block of queries may take.
-BLOCK_BYTES = 32 << 20
+#: What one block of queries may take, in bytes and in rows.
+BLOCK_BYTES, BLOCK_ROWS = 32 << 20, 1 << 14
 STEP = 8192
 
 
 def query_blocks(queries: DataFrame, id_col: str = "qid", vector: str = "embedding") -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(ids, vectors) of at most BLOCK_BYTES, read from the cluster a partition at a time."""
+    """(ids, vectors) of at most BLOCK_BYTES and BLOCK_ROWS, read from the cluster a partition at a time."""
     ids, rows, size = [], [], 0
     for row in queries.select(id_col, vector).dropna().toLocalIterator(prefetchPartitions=True):
         ids.append(row[0])
         rows.append(row[1])
         size += 8 * len(row[1])
-        if size >= BLOCK_BYTES:
+        if size >= BLOCK_BYTES or len(ids) >= BLOCK_ROWS:
             yield np.array(ids, dtype=np.int64), np.array(rows, dtype=np.float64)
             ids, rows, size = [], [], 0
     if ids:
@@ -58,11 +58,11 @@ def knn(queries: DataFrame, base: DataFrame, k: int, metric: str = "l2", id_col:
 
         def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             ids, q = shared.value
-            best, every = Best(len(ids), k, greater), np.arange(len(ids))
+            best = Best(len(ids), k, greater)
             for whole in batches:
                 for at in range(0, whole.num_rows, STEP):
                     part = whole.slice(at, STEP)
-                    best.offer(every, kernel(q, matrix(part.column(1))), part.column(0).to_numpy())
+                    best.scan(q, matrix(part.column(1)), part.column(0).to_numpy(), kernel)
             yield _result(ids, *best.rows())
 
         parts.append(base.select(F.col(id_col).cast("long"), vector).dropna().mapInArrow(scan, RESULT))
@@ -83,9 +83,11 @@ def range_search(queries: DataFrame, base: DataFrame, radius: float, metric: str
             for whole in batches:
                 for at in range(0, whole.num_rows, STEP):
                     part = whole.slice(at, STEP)
-                    d = rounded(kernel(q, matrix(part.column(1))))
-                    i, j = np.nonzero(d > radius if greater else d < radius)
-                    yield _result(ids, i, part.column(0).to_numpy()[j], d[i, j])
+                    x, names = matrix(part.column(1)), part.column(0).to_numpy()
+                    for rows in tiles(len(ids)):
+                        d = rounded(kernel(q[rows], x))
+                        i, j = np.nonzero(d > radius if greater else d < radius)
+                        yield _result(ids, rows[i], names[j], d[i, j])
 
         parts.append(base.select(F.col(id_col).cast("long"), vector).dropna().mapInArrow(scan, RESULT))
     return reduce(DataFrame.union, parts) if parts else _empty(base)
@@ -127,16 +129,27 @@ def indexed_pairs(pairs: DataFrame, left: DataFrame, right: DataFrame, metric: s
     return pairs.join(a, "i").join(b, "j").select("i", "j", METRICS[metric][0](F.col("a"), F.col("b")).alias("distance"))
 
 
+def centroid_block(centroids: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(list numbers, centroids) of a table that fits into BLOCK_BYTES; else a ValueError."""
+    rows, size = [], 0
+    for row in centroids.select("list_id", "centroid").toLocalIterator():
+        rows.append(row)
+        size += 8 * len(row[1])
+        if size > BLOCK_BYTES:
+            raise ValueError(f"centroids take more than {BLOCK_BYTES} bytes")
+    if not rows:
+        raise ValueError("there are no centroids")
+    rows.sort(key=lambda r: r[0])
+    return np.array([r[0] for r in rows], dtype=np.int64), np.array([r[1] for r in rows], dtype=np.float64)
+
+
 def assign(vectors: DataFrame, centroids: DataFrame, k: int = 1, metric: str = "l2", id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """vec_id, rank, list_id, distance: the k nearest centroids of every vector.
 
     Centroids are a model of a bounded size (nlist x d, checked by query_blocks' limit); every
     vector is settled in its own row, so nothing is shuffled.
     """
-    blocks = list(query_blocks(centroids.select(F.col("list_id").alias("qid"), F.col("centroid").alias("embedding"))))
-    if len(blocks) != 1:
-        raise ValueError(f"centroids take more than {BLOCK_BYTES} bytes, or there are none")
-    shared = vectors.sparkSession.sparkContext.broadcast(blocks[0])
+    shared = vectors.sparkSession.sparkContext.broadcast(centroid_block(centroids))
     greater, kernel = METRICS[metric][1], KERNELS[metric]
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,8 +158,8 @@ def assign(vectors: DataFrame, centroids: DataFrame, k: int = 1, metric: str = "
         for whole in batches:
             for at in range(0, whole.num_rows, STEP):
                 part = whole.slice(at, STEP)
-                best, n = Best(part.num_rows, keep, greater), part.num_rows
-                best.offer(np.arange(n), kernel(matrix(part.column(1)), c), ids)
+                best = Best(part.num_rows, keep, greater)
+                best.scan(matrix(part.column(1)), c, ids, kernel)
                 row, lists, d = best.rows()
                 rank = np.arange(len(row)) - np.searchsorted(row, row) + 1
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(rank.astype(np.int32)), pa.array(lists.astype(np.int32)), pa.array(d)], names=["vec_id", "rank", "list_id", "distance"])
@@ -155,6 +168,56 @@ def assign(vectors: DataFrame, centroids: DataFrame, k: int = 1, metric: str = "
     return rows.mapInArrow(settle, "vec_id long, rank int, list_id int, distance double")
 
 
+def sorted_knn(queries: DataFrame, base: DataFrame, k: int) -> DataFrame:
+    """qid, rank, vec_id, distance over vectors of one dimension: each step of the base is sorted,
+    and a query meets only its neighbours in that order."""
+    parts = []
+    for ids, q in query_blocks(queries):
+        shared = base.sparkSession.sparkContext.broadcast((ids, q[:, 0]))
+
+        def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            ids, q = shared.value
+            best = Best(len(ids), k, False)
+            for whole in batches:
+                for at in range(0, whole.num_rows, STEP):
+                    part = whole.slice(at, STEP)
+                    x, names = matrix(part.column(1))[:, 0], part.column(0).to_numpy()
+                    order = np.argsort(x, kind="stable")
+                    x, names = x[order], names[order]
+                    here = np.searchsorted(x, q)
+                    for i, v in enumerate(q.tolist()):
+                        # the k on each side bound the k-th distance; all within it are offered, with its ties
+                        near = np.sort((x[max(0, here[i] - k) : here[i] + k] - v) ** 2)
+                        edge = min(near[k - 1] if len(near) >= k else np.inf, best.keys[i, -1]) + 2 / UNITS
+                        a, b = np.searchsorted(x, v - edge**0.5), np.searchsorted(x, v + edge**0.5, "right")
+                        if b > a:
+                            best.offer(np.array([i]), ((x[a:b] - v) ** 2)[None], names[a:b])
+            yield _result(ids, *best.rows())
+
+        parts.append(base.select(F.col("vec_id").cast("long"), "embedding").dropna().mapInArrow(scan, RESULT))
+    if not parts:
+        return _empty(base).withColumn("rank", F.lit(0)).select("qid", "rank", "vec_id", "distance")
+    return top_k(reduce(DataFrame.union, parts), k).select("qid", "rank", "vec_id", "distance")
+
+
+def pairwise(queries: DataFrame, base: DataFrame, metric: str = "l2") -> DataFrame:
+    """qid, distances: a row of the distance matrix, in the order of the base's ids. The base is a
+    table of a checked size (centroid_block)."""
+    shared = queries.sparkSession.sparkContext.broadcast(centroid_block(base.select(F.col("vec_id").alias("list_id"), F.col("embedding").alias("centroid"))))
+    kernel = KERNELS[metric]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, x = shared.value
+        for whole in batches:
+            for at in range(0, whole.num_rows, TILE):
+                part = whole.slice(at, TILE)
+                d = rounded(kernel(matrix(part.column(1)), x))
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, d.size + 1, d.shape[1]), pa.int32()), pa.array(d.ravel()))
+                yield pa.RecordBatch.from_arrays([part.column(0), lists], names=["qid", "distances"])
+
+    return queries.select(F.col("qid").cast("long"), "embedding").dropna().mapInArrow(run, "qid long, distances array<double>")
+
+
 def epsilon_search(queries: DataFrame, base: DataFrame, epsilon: float, least: int, most: int, metric: str = "l2") -> DataFrame:
     """All within epsilon, `most` a query at most; the `least` nearest even if they lie farther."""
     found = knn(queries, base, most, metric)
@@ -180,13 +243,16 @@ def nearest_documents(queries: DataFrame, base: DataFrame, n: int, metric: str =
                     docs = part.column(0).to_numpy()
                     order = np.argsort(docs, kind="stable")
                     names, first = np.unique(docs[order], return_index=True)
-                    d = np.minimum.reduceat(sign * rounded(kernel(q, matrix(part.column(1))))[:, order], first, axis=1)
-                    for i, held in enumerate(best):
-                        for j in np.argsort(d[i], kind="stable")[:n].tolist() if len(names) > n else range(len(names)):
-                            doc = int(names[j])
-                            held[doc] = min(held.get(doc, np.inf), d[i, j])
-                        if len(held) > n:
-                            best[i] = dict(sorted(held.items(), key=lambda x: (x[1], x[0]))[:n])
+                    x = matrix(part.column(1))
+                    for rows in tiles(len(q)):
+                        d = np.minimum.reduceat(sign * rounded(kernel(q[rows], x))[:, order], first, axis=1)
+                        for i, near in zip(rows.tolist(), d, strict=True):
+                            held = best[i]
+                            for j in np.argsort(near, kind="stable")[:n].tolist() if len(names) > n else range(len(names)):
+                                doc = int(names[j])
+                                held[doc] = min(held.get(doc, np.inf), near[j])
+                            if len(held) > n:
+                                best[i] = dict(sorted(held.items(), key=lambda x: (x[1], x[0]))[:n])
             flat = [(ids[i], doc, sign * d) for i, held in enumerate(best) for doc, d in held.items()]
             if flat:
                 a, b, c = zip(*flat, strict=True)

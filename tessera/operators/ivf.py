@@ -30,11 +30,13 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions.kernels import KERNELS, Best, matrix, rounded
+from tessera.functions.kernels import KERNELS, Best, matrix, rounded, tiles
 from tessera.functions.vectors import METRICS
+from tessera.operators import maintain
 from tessera.operators.flat import BLOCK_BYTES, RESULT, assign, query_blocks
 from tessera.operators.kmeans import KMeansModel, KMeansParams, train
 from tessera.operators.topk import top_k
+from tessera.sources.shared import materialise
 
 TRI, SUBNN_L2, SUBNN_IP = 1, 2, 4
 #: Accepted spellings of the sets of rules.
@@ -45,7 +47,7 @@ OPT_LEVELS = {
 #: Rows of a list among which its neighbour table is made.
 SUB_BLOCK = 4096
 SUB_STEP = 512
-COUNTERS = ("total", "skip_tri", "skip_tri_large", "skip_l2", "skip_ip", "computed", "updates")
+COUNTERS = ("total", "skip_tri", "skip_tri_large", "skip_axes", "skip_l2", "skip_ip", "computed", "updates")
 
 
 def opt_level(value: int | str) -> int:
@@ -112,9 +114,9 @@ class IvfIndex:
             for whole in batches:
                 for at in range(0, whole.num_rows, 4096):
                     part = whole.slice(at, 4096)
-                    d = rounded(KERNELS[metric](x := matrix(part.column(1)), c))
-                    own = part.column(2).to_numpy(zero_copy_only=False)
-                    near = d.argmax(axis=1) if metric == "ip" else d.argmin(axis=1)
+                    x, own = matrix(part.column(1)), part.column(2).to_numpy(zero_copy_only=False)
+                    sign = -1 if metric == "ip" else 1
+                    near = np.concatenate([(sign * rounded(KERNELS[metric](x[some], c))).argmin(axis=1) for some in tiles(len(x))])
                     near = np.where(np.isnan(own.astype(float)), near, np.nan_to_num(own.astype(float))).astype(np.int32)
                     exact = np.einsum("ij,ij->i", x, c[near]) if metric == "ip" else ((x - c[near]) ** 2).sum(axis=1)
                     yield pa.RecordBatch.from_arrays([pa.array(near), part.column(0), part.column(1), pa.array(exact), pa.array(_space(metric, exact))], names=["list_id", "vec_id", "embedding", "d2c", "r"])
@@ -123,12 +125,45 @@ class IvfIndex:
         return rows.mapInArrow(run, f"list_id int, vec_id long, embedding {_kind(vectors)}, d2c double, r double")
 
     def add(self, vectors: DataFrame, lists: DataFrame | None = None) -> IvfIndex:
-        """An index with more vectors; neighbour tables are made over all of them."""
+        """An index with more vectors; neighbour tables are made over all of them. The table is
+        written to the shared folder, so that searches read it and don't make it again."""
         rows = self.placed(vectors, lists)
         if self.rows is not None:
             rows = self.rows.select(rows.columns).unionByName(rows)
         out = replace(self, rows=rows)
-        return out.with_neighbours() if self.opt & (SUBNN_L2 | SUBNN_IP) else out
+        out = out.with_neighbours() if self.opt & (SUBNN_L2 | SUBNN_IP) else out
+        return replace(out, rows=materialise(out.rows))
+
+    def with_random_neighbours(self, seed: int = 7) -> IvfIndex:
+        """As with_neighbours, but sub_k members of the same list in no order instead of the nearest:
+        linear in a list's size, and the rules stay lossless, as they only use distances."""
+        kind, k = _kind(self.rows), self.sub_k
+        sizes = self.rows.groupBy("list_id").agg(F.ceil(F.count("*") / SUB_BLOCK).alias("blocks"))
+        base = ["list_id", "vec_id", "embedding", "d2c", "r"]
+        cut = self.rows.select(*base).join(sizes, "list_id").withColumn("block", F.pmod(F.xxhash64("vec_id"), "blocks"))
+        shared = self.rows.sparkSession.sparkContext.broadcast(self.centroids)
+
+        def run(table: pa.Table) -> pa.Table:
+            table = table.combine_chunks().sort_by("vec_id")
+            x, ids = matrix(table.column("embedding")), table.column("vec_id").to_numpy()
+            n, centre = len(ids), shared.value[table.column("list_id")[0].as_py()]
+            steps = np.random.Generator(np.random.PCG64(seed)).permutation(np.arange(1, n))[:k]
+            other = (np.arange(n)[:, None] + steps[None, :]) % max(n, 1)
+            left = x - centre
+            norm = np.linalg.norm(left, axis=1)
+            norm = np.where(norm == 0, 1, norm)
+            d = np.sqrt(((x[:, None, :] - x[other]) ** 2).sum(axis=2))
+            cosine = np.einsum("ij,ikj->ik", left, left[other]) / norm[:, None] / norm[other]
+            cuts = pa.array(np.arange(n + 1) * len(steps), pa.int32())
+            lists = lambda v: pa.ListArray.from_arrays(cuts, pa.array(v.ravel()))
+            columns = [table.column(c) for c in base]
+            for v in (d, cosine, cosine):
+                columns += [lists(ids[other]), lists(v)]
+            return pa.table(columns, names=[*base, "near_ids", "near", "cos_near_ids", "cos_near", "cos_far_ids", "cos_far"])
+
+        pairs = ", ".join(f"{n}_ids array<long>, {n} array<double>" for n in ("near", "cos_near", "cos_far"))
+        done = cut.groupBy("list_id", "block").applyInArrow(run, f"list_id int, vec_id long, embedding {kind}, d2c double, r double, {pairs}")
+        return replace(self, rows=materialise(done))
 
     def with_neighbours(self) -> IvfIndex:
         """Adds to each row its sub_k neighbours within its list: `near` (by distance), `cos_near`
@@ -195,12 +230,15 @@ class IvfIndex:
     # --- searching ------------------------------------------------------------------------
 
     def probes(self, q: np.ndarray, nprobe: int) -> tuple[np.ndarray, np.ndarray]:
-        """(lists, distances in the metric's space), each (queries, nprobe), nearest first."""
-        d = rounded(KERNELS[self.metric](q, self.centroids))
-        sign = -1 if self.metric == "ip" else 1
-        order = np.lexsort((np.broadcast_to(np.arange(self.nlist), d.shape), sign * d), axis=1)[:, : min(nprobe, self.nlist)]
-        exact = KERNELS[self.metric](q, self.centroids)
-        return order, _space(self.metric, np.take_along_axis(exact, order, axis=1))
+        """(lists, distances in the metric's space), each (queries, nprobe), nearest first. For a
+        block of queries; those of a large table come from coarse()."""
+        sign, lists, far = -1 if self.metric == "ip" else 1, [], []
+        for some in tiles(len(q)):
+            exact = KERNELS[self.metric](q[some], self.centroids)
+            order = np.argsort(sign * rounded(exact), axis=1, kind="stable")[:, : min(nprobe, self.nlist)]
+            lists.append(order)
+            far.append(_space(self.metric, np.take_along_axis(exact, order, axis=1)))
+        return np.concatenate(lists), np.concatenate(far)
 
     def coarse(self, queries: DataFrame, nprobe: int) -> DataFrame:
         """qid, probe_rank, list_id, distance."""
@@ -234,12 +272,12 @@ class IvfIndex:
             out[q] = d
         return np.minimum(out, np.pi) if self.metric == "ip" else out
 
-    def _scan(self, ids: np.ndarray, q: np.ndarray, lists: np.ndarray, far: np.ndarray, k: int, opt: int, ratio: float, counters: bool, radius: float | None) -> DataFrame:
+    def _scan(self, ids: np.ndarray, q: np.ndarray, lists: np.ndarray, far: np.ndarray, k: int, opt: int, ratio: float, counters: bool, radius: float | None, axes: int = 0) -> DataFrame:
         """One block of queries against the index: results, or the counters of what was skipped."""
         metric, greater = self.metric, METRICS[self.metric][1]
         centre = self.centroids
-        start = self.bounds(lists, far, k) if opt and radius is None else np.full(len(ids), np.inf if radius is None else float(_space(metric, np.array(radius))))
-        shared = self.rows.sparkSession.sparkContext.broadcast((ids, q, lists, far, start, centre if opt & SUBNN_IP else None))
+        start = self.bounds(lists, far, k) if (opt or axes) and radius is None else np.full(len(ids), np.inf if radius is None else float(_space(metric, np.array(radius))))
+        shared = self.rows.sparkSession.sparkContext.broadcast((ids, q, lists, far, start, centre if axes else None))
         columns = ["list_id", "vec_id", "embedding", "r"]
         if opt & SUBNN_L2:
             columns += ["near_ids", "near"]
@@ -248,7 +286,7 @@ class IvfIndex:
         slack = _SLACK[metric]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, q, lists, far, start, _ = shared.value
+            ids, q, lists, far, start, centre = shared.value
             best, count, bound = Best(len(ids), k, greater), dict.fromkeys(COUNTERS, 0), start.copy()
             for whole in batches:
                 order = np.lexsort((whole.column(3).to_numpy(), whole.column(0).to_numpy()))
@@ -272,6 +310,10 @@ class IvfIndex:
                         continue
                     x, names = matrix(part.column(2).take(pa.array(some))), part.column(1).to_numpy()[some]
                     allowed = allowed[:, some]
+                    if axes:
+                        skip = axis_rule(x, q[rows], centre[of[a]], bound[rows] * (1 + slack) + slack, axes) & allowed
+                        count["skip_axes"] += int(skip.sum())
+                        allowed &= ~skip
                     if opt & (SUBNN_L2 | SUBNN_IP):
                         pivots = np.arange(0, len(some), 4)
                         d = KERNELS[metric](q[rows], x[pivots])
@@ -296,7 +338,7 @@ class IvfIndex:
                             own = np.flatnonzero(allowed[i])
                             best.offer(rows[i : i + 1], KERNELS[metric](q[rows[i]][None], x[own]), names[own])
                     count["updates"] += int((best.keys[rows, -1] != before).sum())
-                    if opt:
+                    if opt or axes:
                         full = np.isfinite(best.keys[rows, -1])
                         worst = _space(metric, -best.keys[rows, -1] if greater else best.keys[rows, -1])
                         bound[rows] = np.where(full, np.fmin(bound[rows], worst), bound[rows])
@@ -325,8 +367,8 @@ class IvfIndex:
             lists = np.full((len(ids), width), -1)
             for i, qid in enumerate(ids.tolist()):
                 lists[i, : len(chosen.get(qid, ()))] = chosen.get(qid, ())
-            d = _space(self.metric, KERNELS[self.metric](q, self.centroids))
-            yield ids, q, lists, np.where(lists >= 0, np.take_along_axis(d, np.maximum(lists, 0), axis=1), np.inf)
+            far = np.concatenate([np.take_along_axis(KERNELS[self.metric](q[some], self.centroids), np.maximum(lists[some], 0), axis=1) for some in tiles(len(q))])
+            yield ids, q, lists, np.where(lists >= 0, _space(self.metric, far), np.inf)
 
     def _checked(self, opt: int | str | None) -> int:
         opt = self.opt if opt is None else opt_level(opt)
@@ -336,10 +378,16 @@ class IvfIndex:
             raise ValueError(f"the index was built with rules {self.opt}, not {opt}")
         return opt
 
-    def search(self, queries: DataFrame, k: int, nprobe: int | None = None, opt: int | str | None = None, ratio: float = 1.0, probes: DataFrame | None = None) -> DataFrame:
-        """qid, rank, vec_id, distance. probes: (qid, list_id), if the caller has chosen."""
+    def search(self, queries: DataFrame, k: int, nprobe: int | None = None, opt: int | str | None = None, ratio: float = 1.0, probes: DataFrame | None = None, max_codes: int = 0, axes: int = 0) -> DataFrame:
+        """qid, rank, vec_id, distance. probes: (qid, list_id), if the caller has chosen. max_codes:
+        the probe that reaches so many candidates is a query's last. axes: vectors are also ruled
+        out by their angle to so many coordinate axes, seen from the centroid (l2)."""
         opt = self._checked(opt)
-        found = [self._scan(*b, k, opt, ratio, False, None) for b in self._blocks(queries, probes, nprobe or self.nprobe)]
+        if axes and self.metric != "l2":
+            raise ValueError("the axis rule is for l2")
+        if max_codes:
+            probes = maintain.capped_probes(probes if probes is not None else self.coarse(queries, nprobe or self.nprobe), self.list_sizes(), max_codes)
+        found = [self._scan(*b, k, opt, ratio, False, None, axes) for b in self._blocks(queries, probes, nprobe or self.nprobe)]
         if not found:
             found = [queries.sparkSession.createDataFrame([], RESULT)]
         return top_k(reduce(DataFrame.union, found), k, METRICS[self.metric][1]).select("qid", "rank", "vec_id", "distance")
@@ -350,10 +398,10 @@ class IvfIndex:
         found = [self._scan(*b, 1, 0, 1.0, False, radius) for b in self._blocks(queries, probes, nprobe or self.nprobe)]
         return reduce(DataFrame.union, found) if found else queries.sparkSession.createDataFrame([], RESULT)
 
-    def statistics(self, queries: DataFrame, k: int, nprobe: int | None = None, opt: int | str | None = None, ratio: float = 1.0) -> DataFrame:
+    def statistics(self, queries: DataFrame, k: int, nprobe: int | None = None, opt: int | str | None = None, ratio: float = 1.0, axes: int = 0) -> DataFrame:
         """One row: how many candidates there were, which rule skipped how many, and the speed-up."""
         opt = self._checked(opt)
-        found = reduce(DataFrame.union, [self._scan(*b, k, opt, ratio, True, None) for b in self._blocks(queries, None, nprobe or self.nprobe)])
+        found = reduce(DataFrame.union, [self._scan(*b, k, opt, ratio, True, None, axes) for b in self._blocks(queries, None, nprobe or self.nprobe)])
         return found.agg(*[F.sum(c).alias(c) for c in COUNTERS]).withColumn("pruning_speedup", F.col("total") / F.nullif(F.col("computed"), F.lit(0))).withColumn("update_rate", F.col("updates") / F.nullif(F.col("computed"), F.lit(0)))
 
     # --- looking inside, changing ---------------------------------------------------------
@@ -425,6 +473,33 @@ def find_saved(spark: SparkSession, folder: str, metric: str, opt: int | str, nl
     return None
 
 
+def axis_rule(x: np.ndarray, q: np.ndarray, c: np.ndarray, bound: np.ndarray, axes: int) -> np.ndarray:
+    """(queries, vectors): which of a list's vectors can't lie within each query's bound.
+
+    All within the bound lie in a cone around q - c of half angle t, so the angle of x - c to an
+    axis differs from that of q - c by t at most. x and c: of the list; bound: of each query.
+    """
+    to_q, to_x = q - c, x - c
+    far, r = np.linalg.norm(to_q, axis=1), np.linalg.norm(to_x, axis=1)
+    some = far > bound
+    out = np.zeros((len(q), len(x)), dtype=bool)
+    if some.any():
+        theta = np.arcsin(np.minimum(1.0, bound[some] / far[some])) + 1e-9
+        for j in range(min(axes, x.shape[1])):
+            beta = np.arccos(np.clip(to_q[some, j] / far[some], -1, 1))
+            low, high = np.cos(np.minimum(np.pi, beta + theta)) - 1e-9, np.cos(np.maximum(0, beta - theta)) + 1e-9
+            cosine = to_x[:, j] / np.where(r > 0, r, 1)
+            out[some] |= ((cosine[None] < low[:, None]) | (cosine[None] > high[:, None])) & (r > 0)[None]
+    return out
+
+
+def sub_index_size(rows: int, sub_nlist: int, sub_nprobe: int, metric: str = "l2") -> tuple[int, int]:
+    """(lists, probes) of an index within a list of so many rows: at most one list to eight rows, and
+    half as many probes again for inner products."""
+    nlist = max(1, min(sub_nlist, -(-rows // 8)))
+    return nlist, min(nlist, sub_nprobe + sub_nprobe // 2 if metric == "ip" else sub_nprobe)
+
+
 def _kind(vectors: DataFrame) -> str:
     return vectors.schema["embedding"].dataType.simpleString()
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.kernels import KERNELS, matrix
+from tessera.functions.kernels import KERNELS, matrix, tiles
 from tessera.functions.vectors import METRICS
 from tessera.operators.flat import STEP
 
@@ -43,6 +43,12 @@ class KMeansModel:
     #: objective, imbalance and splits of each iteration
     history: list[dict] = field(default_factory=list)
 
+    def assign(self, vectors: DataFrame, k: int = 1, metric: str = "l2") -> DataFrame:
+        """vec_id, rank, list_id, distance: the k nearest centroids of every vector."""
+        from tessera.operators.flat import assign
+
+        return assign(vectors, self.table(vectors.sparkSession), k, metric)
+
     def table(self, spark) -> DataFrame:
         return spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(self.centroids)], "list_id int, centroid array<double>")
 
@@ -53,12 +59,26 @@ def shuffled_order(id_col: str = "vec_id", seed: int = 6666) -> Column:
 
 def training_sample(vectors: DataFrame, nlist: int, per_centroid: int = 256, seed: int = 6666, id_col: str = "vec_id") -> DataFrame:
     """At most per_centroid vectors a centroid."""
-    return vectors.orderBy(shuffled_order(id_col, seed), id_col).limit(nlist * per_centroid)
+    return first_of(vectors, nlist * per_centroid, seed, id_col)
+
+
+def first_of(vectors: DataFrame, n: int, seed: int, id_col: str = "vec_id") -> DataFrame:
+    """The first n vectors in the shuffled order, without sorting n rows in one task: rows are counted
+    by the first four digits of their hash, and only those of the one value at the cut are sorted."""
+    order = shuffled_order(id_col, seed)
+    head = F.substring(order, 1, 4)
+    below = 0
+    for value, count in sorted(map(tuple, vectors.groupBy(head.alias("head")).count().collect())):
+        if below + count >= n:
+            edge = vectors.filter(head == value).orderBy(order, id_col).limit(n - below)
+            return vectors.filter(head < value).unionByName(edge)
+        below += count
+    return vectors
 
 
 def initial(vectors: DataFrame, nlist: int, seed: int = 6666, id_col: str = "vec_id") -> DataFrame:
     """vec_id and embedding of nlist different vectors to start from."""
-    return vectors.orderBy(shuffled_order(id_col, seed), id_col).limit(nlist)
+    return first_of(vectors, nlist, seed, id_col)
 
 
 def _sums(vectors: DataFrame, centroids: np.ndarray, metric: str, weight: str | None) -> dict[int, tuple[float, float, np.ndarray]]:
@@ -73,11 +93,13 @@ def _sums(vectors: DataFrame, centroids: np.ndarray, metric: str, weight: str |
             for at in range(0, whole.num_rows, STEP):
                 part = whole.slice(at, STEP)
                 x, w = matrix(part.column(0)), part.column(1).to_numpy()
-                d = kernel(x, c)
-                near = d.argmax(axis=1) if greater else d.argmin(axis=1)
-                np.add.at(total, near, x * w[:, None])
-                mass += np.bincount(near, weights=w, minlength=len(c))
-                loss += np.bincount(near, weights=w * d[np.arange(len(x)), near], minlength=len(c))
+                for rows in tiles(len(x)):
+                    y, v = x[rows], w[rows]
+                    d = kernel(y, c)
+                    near = d.argmax(axis=1) if greater else d.argmin(axis=1)
+                    np.add.at(total, near, y * v[:, None])
+                    mass += np.bincount(near, weights=v, minlength=len(c))
+                    loss += np.bincount(near, weights=v * d[np.arange(len(y)), near], minlength=len(c))
         some = np.flatnonzero(mass)
         lists = pa.ListArray.from_arrays(pa.array(np.arange(0, c.shape[1] * len(some) + 1, c.shape[1]), pa.int32()), pa.array(total[some].ravel()))
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(mass[some]), pa.array(loss[some]), lists], names=["list_id", "mass", "loss", "total"])
@@ -130,6 +152,47 @@ def step(vectors: DataFrame, centroids: np.ndarray, params: KMeansParams) -> tup
     return _finished(new, params), stats
 
 
+def sparse_assign(entries: DataFrame, centroids: DataFrame) -> DataFrame:
+    """vec_id, list_id, distance: the nearest centroid of sparse vectors, (vec_id, pos, value) without
+    zeros, pos from 0: |x|^2 + |c|^2 - 2 x.c, the product of two sparse tables summed by pair."""
+    each = centroids.select("list_id", F.posexplode("centroid").alias("pos", "c"))
+    size = each.groupBy("list_id").agg(F.sum(F.col("c") * F.col("c")).alias("cc"))
+    own = entries.groupBy("vec_id").agg(F.sum(F.col("value") * F.col("value")).alias("xx"))
+    dot = entries.join(each.filter("c <> 0"), "pos").groupBy("vec_id", "list_id").agg(F.sum(F.col("value") * F.col("c")).alias("xc"))
+    d = lambda c: F.floor((F.col("xx") + c) * 1e6 + 0.5) / 1e6
+    met = dot.join(own, "vec_id").join(F.broadcast(size), "list_id")
+    met = met.groupBy("vec_id", "xx").agg(F.min(F.struct(d(F.col("cc") - 2 * F.col("xc")).alias("distance"), "list_id")).alias("near"), F.collect_set("list_id").alias("lists"))
+    # a centroid without a common entry has the product 0; the nearest of those is the shortest
+    order = size.agg(F.sort_array(F.collect_list(F.struct("cc", "list_id"))).alias("order"))
+    each = own.join(met.drop("xx"), "vec_id", "left").join(F.broadcast(order), F.lit(True))  # one row: a model
+    other = F.get(F.filter("order", lambda x: ~F.array_contains(F.coalesce("lists", F.array().cast("array<int>")), x["list_id"])), F.lit(0))
+    other = F.when(other.isNotNull(), F.struct(d(other["cc"]).alias("distance"), other["list_id"].alias("list_id")))
+    return each.select("vec_id", F.least("near", other).alias("b")).select("vec_id", F.col("b.list_id").alias("list_id"), F.col("b.distance").alias("distance"))
+
+
+def resumable(vectors: DataFrame, nlist: int, path: str, params: KMeansParams | None = None, id_col: str = "vec_id") -> KMeansModel:
+    """As train, one run, with the centroids of each iteration written under path: a run that was
+    broken off goes on where it was."""
+    from tessera.sources.vecs import exists
+
+    params, spark = params or KMeansParams(), vectors.sparkSession
+    sample = training_sample(vectors, nlist, params.max_points, params.seed, id_col)
+    c, done = None, 0
+    while done < params.niter and exists(spark, f"{path}/{done}/_SUCCESS"):
+        done += 1
+    if done:
+        c = np.array([r["centroid"] for r in spark.read.parquet(f"{path}/{done - 1}").orderBy("list_id").collect()])
+    else:
+        rows = initial(sample, nlist, params.seed, id_col).orderBy(shuffled_order(id_col, params.seed), id_col).select("embedding").collect()
+        c = _finished(np.array([r[0] for r in rows], dtype=float), params)
+    history = []
+    for i in range(done, params.niter):
+        c, stats = step(sample, c, params)
+        KMeansModel(c).table(spark).coalesce(1).write.mode("overwrite").parquet(f"{path}/{i}")
+        history.append(stats)
+    return KMeansModel(c, history)
+
+
 def train(vectors: DataFrame, nlist: int, params: KMeansParams | None = None, start: np.ndarray | None = None, id_col: str = "vec_id") -> KMeansModel:
     """The best of nredo runs. Vectors are sampled to max_points a centroid."""
     params = params or KMeansParams()
@@ -138,7 +201,7 @@ def train(vectors: DataFrame, nlist: int, params: KMeansParams | None = None, st
         seed = params.seed + redo
         sample = training_sample(vectors, nlist, params.max_points, seed, id_col).cache()
         if start is None:
-            rows = initial(sample, nlist, seed, id_col).select("embedding").collect()
+            rows = initial(sample, nlist, seed, id_col).orderBy(shuffled_order(id_col, seed), id_col).select("embedding").collect()
             if len(rows) < nlist:
                 raise ValueError(f"{nlist} centroids need as many vectors; there are {len(rows)}")
             c = _finished(np.array([r[0] for r in rows], dtype=float), params)

@@ -50,6 +50,11 @@ def bit_histogram(codes: DataFrame, bits: str = "bits") -> DataFrame:
     return codes.select(F.posexplode(bits).alias("pos", "b")).groupBy("pos").agg(F.sum("b").alias("ones"))
 
 
+def byte_histogram(codes: DataFrame, code: str = "code") -> DataFrame:
+    """pos, byte, n: how often each value is at each place of the codes."""
+    return codes.select(F.posexplode(code).alias("pos", "byte")).groupBy("pos", "byte").agg(F.count("*").alias("n"))
+
+
 def distinct_codes(codes: DataFrame, code: str) -> DataFrame:
     """One representative id of each code."""
     return codes.groupBy(code).agg(F.min("vec_id").alias("vec_id"))
@@ -110,15 +115,15 @@ def replaced(vectors: DataFrame, changes: DataFrame) -> DataFrame:
 
 
 def residuals(vectors: DataFrame, lists: DataFrame, centroids: DataFrame) -> DataFrame:
-    """vec_id, list_id, residual: what is left after the centroid (a broadcast model)."""
-    at = vectors.join(lists.select("vec_id", "list_id"), "vec_id").join(F.broadcast(centroids), "list_id")
+    """vec_id, list_id, residual: what is left after the centroid."""
+    at = vectors.join(lists.select("vec_id", "list_id"), "vec_id").join(centroids, "list_id")
     return at.select("vec_id", "list_id", V.subtract(F.col("embedding"), F.col("centroid")).alias("residual"))
 
 
 def capped_probes(probes: DataFrame, sizes: DataFrame, max_codes: int) -> DataFrame:
     """Probes until max_codes candidates are reached; the probe that reaches it is the last."""
     before = Window.partitionBy("qid").orderBy("probe_rank").rowsBetween(Window.unboundedPreceding, -1)
-    at = probes.join(F.broadcast(sizes.select("list_id", "n")), "list_id", "left").withColumn("before", F.coalesce(F.sum(F.coalesce("n", F.lit(0))).over(before), F.lit(0)))
+    at = probes.join(sizes.select("list_id", "n"), "list_id", "left").withColumn("before", F.coalesce(F.sum(F.coalesce("n", F.lit(0))).over(before), F.lit(0)))
     return at.filter(F.col("before") < max_codes).select("qid", "probe_rank", "list_id")
 
 

@@ -7,16 +7,17 @@ table a query, a sum a code, k results a task.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions.kernels import KERNELS, Best, matrix
+from tessera.functions.kernels import KERNELS, Best, matrix, tiles
 from tessera.operators.flat import RESULT, STEP, query_blocks
 from tessera.operators.topk import top_k
 
@@ -43,6 +44,38 @@ def sample(vectors: DataFrame, n: int = 65536, vector: str = "embedding") -> np.
     return np.array([r[0] for r in rows], dtype=float)
 
 
+def save(quantizer: Quantizer, spark: SparkSession, path: str) -> None:
+    """The quantizer's numbers and arrays as one row of JSON in text: a model of bounded size."""
+    spark.createDataFrame([(json.dumps(_plain(quantizer)),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def load(spark: SparkSession, path: str) -> Quantizer:
+    return _made(json.loads(spark.read.text(path, wholetext=True).first()[0]))
+
+
+def _plain(x):
+    if isinstance(x, Quantizer):
+        return {"kind": type(x).__name__, "fields": {k: _plain(v) for k, v in vars(x).items()}}
+    if isinstance(x, np.ndarray):
+        return {"dtype": str(x.dtype), "shape": list(x.shape), "values": x.ravel().tolist()}
+    return [_plain(v) for v in x] if isinstance(x, list | tuple) else x.item() if isinstance(x, np.generic) else x
+
+
+def _made(x):
+    if isinstance(x, dict) and "kind" in x:
+        known = {c.__name__: c for c in _kinds(Quantizer)}
+        out = known[x["kind"]].__new__(known[x["kind"]])
+        vars(out).update({k: _made(v) for k, v in x["fields"].items()})
+        return out
+    if isinstance(x, dict):
+        return np.array(x["values"], dtype=x["dtype"]).reshape(x["shape"])
+    return [_made(v) for v in x] if isinstance(x, list) else x
+
+
+def _kinds(of: type) -> list[type]:
+    return [of, *(k for c in of.__subclasses__() for k in _kinds(c))]
+
+
 class Quantizer:
     """encode: (n, d) to (n, m) whole numbers; decode: back."""
 
@@ -92,7 +125,7 @@ class Quantizer:
                 for whole in batches:
                     for at in range(0, whole.num_rows, STEP):
                         part = whole.slice(at, STEP)
-                        best.offer(np.arange(len(ids)), self.distances(q, matrix(part.column(1)).astype(np.int64)), part.column(0).to_numpy())
+                        best.scan(q, matrix(part.column(1)).astype(np.int64), part.column(0).to_numpy(), self.distances)
                 row, names, d = best.rows()
                 yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(names), pa.array(d)], names=["qid", "vec_id", "distance"])
 
@@ -179,6 +212,17 @@ class ProductQuantizer(Quantizer):
         parts = np.split(q, len(self.books), axis=1)
         return sum(KERNELS["l2"](p, c)[:, codes[:, i]] for i, (p, c) in enumerate(zip(parts, self.books, strict=True)))
 
+    def searching(self, kind: str = "asymmetric", most_bits: int = 0) -> Quantizer:
+        """The same codes searched otherwise: asymmetric (the query as it is), symmetric (its code),
+        hamming (differing bits of the codes), generalised (differing parts), polysemous (asymmetric
+        among codes of at most most_bits differing bits)."""
+        return Searching(self, kind, most_bits)
+
+    def reordered(self, rounds: int = 2000, seed: int = 5) -> ProductQuantizer:
+        """The same codewords under numbers whose differing bits follow the distances between them
+        (simulated annealing over swaps of two numbers), for polysemous and hamming searches."""
+        return ProductQuantizer(np.stack([book[_annealed(book, rounds, seed + i)] for i, book in enumerate(self.books)]))
+
     def symmetric(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Distances between codes."""
         return sum(KERNELS["l2"](c, c)[np.ix_(a[:, i], b[:, i])] for i, c in enumerate(self.books))
@@ -190,6 +234,113 @@ class ProductQuantizer(Quantizer):
         return np.where(differ <= most_bits, self.distances(q, codes), np.inf)
 
 
+def _annealed(book: np.ndarray, rounds: int, seed: int) -> np.ndarray:
+    """An order of the codewords in which near ones have numbers of few differing bits."""
+    n, draw = len(book), np.random.Generator(np.random.PCG64(seed))
+    d = KERNELS["l2"](book, book)
+    goal = (d - d.mean()) / max(d.std(), 1e-12)
+    bits = np.bitwise_count(np.arange(n)[:, None] ^ np.arange(n)[None, :]).astype(float)
+    bits = (bits - bits.mean()) / max(bits.std(), 1e-12)
+    # nearer pairs count more
+    weight = np.exp(-np.maximum(goal, -3))
+    order = np.arange(n)
+    loss = lambda o, rows: (weight[o[rows]][:, o] * (goal[o[rows]][:, o] - bits[rows]) ** 2).sum()
+    heat = 0.2 * loss(order, np.arange(n)) / n
+    for i in range(rounds):
+        a, b = draw.integers(n, size=2)
+        if a == b:
+            continue
+        pair = np.array([a, b])
+        now = loss(order, pair)
+        order[pair] = order[pair[::-1]]
+        change = loss(order, pair) - now
+        if change > 0 and draw.random() >= np.exp(-change / (heat * 0.998**i + 1e-12)):
+            order[pair] = order[pair[::-1]]
+    return order
+
+
+@dataclass
+class Searching(Quantizer):
+    """A product quantizer under another way to compare a query with codes."""
+
+    of: ProductQuantizer
+    kind: str = "asymmetric"
+    most_bits: int = 0
+
+    def encode(self, x: np.ndarray) -> np.ndarray:
+        return self.of.encode(x)
+
+    def decode(self, codes: np.ndarray) -> np.ndarray:
+        return self.of.decode(codes)
+
+    def distances(self, q: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        if self.kind == "asymmetric":
+            return self.of.distances(q, codes)
+        if self.kind == "symmetric":
+            return self.of.symmetric(self.of.encode(q), codes)
+        if self.kind == "polysemous":
+            return self.of.polysemous(q, codes, self.most_bits)
+        own = self.of.encode(q)
+        if self.kind == "hamming":
+            return sum(np.bitwise_count(own[:, i][:, None] ^ codes[:, i][None, :]) for i in range(own.shape[1])).astype(float)
+        if self.kind == "generalised":
+            return (own[:, None, :] != codes[None]).sum(axis=2).astype(float)
+        raise ValueError(f"no such search: {self.kind}")
+
+
+@dataclass
+class NormCoded(Quantizer):
+    """An additive quantizer with the norm of what it decodes to in a code of its own, on 2^bits
+    steps: distances then take a sum of products a code and one norm, not a decoded vector."""
+
+    of: Quantizer
+    low: float
+    high: float
+    bits: int = 8
+
+    @staticmethod
+    def train(x: np.ndarray, of: Quantizer, bits: int = 8) -> NormCoded:
+        norms = (of.decode(of.encode(x)) ** 2).sum(axis=1)
+        return NormCoded(of, float(norms.min()), float(norms.max()), bits)
+
+    def encode(self, x: np.ndarray) -> np.ndarray:
+        codes = self.of.encode(x)
+        norms, steps = (self.of.decode(codes) ** 2).sum(axis=1), (1 << self.bits) - 1
+        span = self.high - self.low if self.high > self.low else 1.0
+        return np.concatenate([codes, np.clip(np.floor((norms - self.low) / span * steps + 0.5), 0, steps).astype(np.int64)[:, None]], axis=1)
+
+    def decode(self, codes: np.ndarray) -> np.ndarray:
+        return self.of.decode(codes[:, :-1])
+
+    def distances(self, q: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        norm = self.low + codes[:, -1] / ((1 << self.bits) - 1) * (self.high - self.low)
+        products = sum((q @ book.T)[:, codes[:, i]] for i, book in enumerate(self.of.books))
+        return np.maximum((q**2).sum(axis=1)[:, None] + norm[None, :] - 2 * products, 0)
+
+
+@dataclass
+class RowwiseMinMax(Quantizer):
+    """Each vector on 2^bits steps of its own range, whose ends take two more codes: their 32-bit
+    patterns, or 16-bit ones with half."""
+
+    bits: int = 8
+    half: bool = False
+
+    def encode(self, x: np.ndarray) -> np.ndarray:
+        kind, whole = (np.float16, np.uint16) if self.half else (np.float32, np.uint32)
+        low = x.min(axis=1).astype(kind)
+        span = (x.max(axis=1) - low.astype(float)).astype(kind)
+        steps, width = (1 << self.bits) - 1, np.where(span > 0, span.astype(float), 1.0)
+        codes = np.clip(np.floor((x - low.astype(float)[:, None]) / width[:, None] * steps + 0.5), 0, steps).astype(np.int64)
+        ends = np.stack([low.view(whole), span.view(whole)], axis=1).astype(np.int64)
+        return np.concatenate([np.where(ends >= 1 << 31, ends - (1 << 32), ends), codes], axis=1)
+
+    def decode(self, codes: np.ndarray) -> np.ndarray:
+        kind, whole = (np.float16, np.uint16) if self.half else (np.float32, np.uint32)
+        low, span = (np.ascontiguousarray(codes[:, i] & 0xFFFFFFFF).astype(whole).view(kind).astype(float)[:, None] for i in (0, 1))
+        return low + codes[:, 2:] / ((1 << self.bits) - 1) * span
+
+
 @dataclass
 class ResidualQuantizer(Quantizer):
     """Codewords of what the codewords before have left, by a beam search."""
@@ -274,8 +425,13 @@ class TwoLevel(Quantizer):
 
     @staticmethod
     def train(x: np.ndarray, nlist: int, m: int, bits: int = 8) -> TwoLevel:
+        return TwoLevel.around(x, nlist, lambda rest: ProductQuantizer.train(rest, m, bits))
+
+    @staticmethod
+    def around(x: np.ndarray, nlist: int, fit) -> TwoLevel:
+        """Lists, and whatever quantizer fit makes of the residuals."""
         c = lloyd(x, nlist)
-        return TwoLevel(c, ProductQuantizer.train(x - c[KERNELS["l2"](x, c).argmin(axis=1)], m, bits))
+        return TwoLevel(c, fit(x - c[KERNELS["l2"](x, c).argmin(axis=1)]))
 
     def encode(self, x: np.ndarray) -> np.ndarray:
         near = KERNELS["l2"](x, self.centroids).argmin(axis=1)
@@ -284,6 +440,16 @@ class TwoLevel(Quantizer):
     def decode(self, codes: np.ndarray) -> np.ndarray:
         return self.centroids[codes[:, 0]] + self.fine.decode(codes[:, 1:])
 
+    def distances(self, q: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        if not isinstance(self.fine, Searching | SpectralHash | SignBits):
+            return super().distances(q, codes)
+        # list by list, as these compare the query's own residual with the codes
+        out = np.empty((len(q), len(codes)))
+        for one in np.unique(codes[:, 0]):
+            own = np.flatnonzero(codes[:, 0] == one)
+            out[:, own] = self.fine.distances(q - self.centroids[one], codes[own][:, 1:])
+        return out
+
     def search(self, queries: DataFrame, codes: DataFrame, k: int, nprobe: int | None = None) -> DataFrame:
         """Only codes of each query's nprobe nearest lists count (all, if not given)."""
         if nprobe is None:
@@ -295,11 +461,13 @@ class TwoLevel(Quantizer):
             def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
                 ids, q, lists = shared.value
                 best = Best(len(ids), k, False)
-                for part in batches:
-                    if part.num_rows:
+                for whole in batches:
+                    for at in range(0, whole.num_rows, STEP):
+                        part = whole.slice(at, STEP)
                         code = matrix(part.column(1)).astype(np.int64)
-                        probed = (lists[:, :, None] == code[:, 0]).any(axis=1)
-                        best.offer(np.arange(len(ids)), self.distances(q, code), part.column(0).to_numpy(), probed)
+                        for rows in tiles(len(ids)):
+                            probed = (lists[rows][:, :, None] == code[:, 0]).any(axis=1)
+                            best.offer(rows, self.distances(q[rows], code), part.column(0).to_numpy(), probed)
                 row, names, d = best.rows()
                 yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(names), pa.array(d)], names=["qid", "vec_id", "distance"])
 
@@ -307,11 +475,43 @@ class TwoLevel(Quantizer):
         return top_k(reduce(DataFrame.union, found), k).select("qid", "rank", "vec_id", "distance")
 
 
+def lattice_points(d: int, r2: int) -> np.ndarray:
+    """All points of whole numbers at squared radius r2 in d dimensions, in lexical order: the number
+    of a point is its place here, which is what a code of few bits stores."""
+    points = [((), r2)]
+    for i in range(d):
+        most = int(r2**0.5)
+        points = [((*p, v), left - v * v) for p, left in points for v in range(-most, most + 1) if v * v <= left and (i < d - 1 or v * v == left)]
+    return np.array([p for p, left in points if left == 0], dtype=np.int64).reshape(-1, d)
+
+
+class RankedLattice(Quantizer):
+    """As Lattice, for parts of few dimensions: the code of a part is one number, the place of the
+    nearest point among all of the sphere's."""
+
+    def __init__(self, parts: int, r2: int, d: int):
+        self.parts, self.points = parts, lattice_points(d // parts, r2)
+
+    def encode(self, x: np.ndarray) -> np.ndarray:
+        pieces = x.reshape(len(x) * self.parts, -1)
+        near = np.concatenate([(pieces[at : at + 4096] @ self.points.T).argmax(axis=1) for at in range(0, len(pieces), 4096)]) if len(pieces) else np.zeros(0, np.int64)
+        return near.reshape(len(x), self.parts)
+
+    def decode(self, codes: np.ndarray) -> np.ndarray:
+        unit = self.points / np.linalg.norm(self.points, axis=1, keepdims=True)
+        return unit[codes.ravel()].reshape(len(codes), -1)
+
+
 class Lattice(Quantizer):
-    """Each part of the vector as the nearest point of whole numbers on a sphere of squared radius r2."""
+    """Each part of the vector as the nearest point of whole numbers on a sphere of squared radius r2.
+    With longest, the part's length follows as a code of 255 steps up to it; else parts have length 1."""
+
+    def __init__(self, parts: int, r2: int, longest: float = 0.0):
+        self.parts, self.r2, self.longest = parts, r2, longest
 
-    def __init__(self, parts: int, r2: int):
-        self.parts, self.r2 = parts, r2
+    @staticmethod
+    def train(x: np.ndarray, parts: int, r2: int) -> Lattice:
+        return Lattice(parts, r2, float(np.linalg.norm(x.reshape(len(x) * parts, -1), axis=1).max()))
 
     def encode(self, x: np.ndarray) -> np.ndarray:
         pieces = x.reshape(len(x) * self.parts, -1)
@@ -326,12 +526,18 @@ class Lattice(Quantizer):
             at = gain.argmax(axis=1)
             ok = gain[np.arange(len(at)), at] >= 0
             point[np.flatnonzero(ok), at[ok]] += np.where(goal[np.flatnonzero(ok), at[ok]] >= 0, 1, -1)
-        return point.reshape(len(x), -1)
+        codes = point.reshape(len(x), -1)
+        if not self.longest:
+            return codes
+        lengths = np.clip(np.floor(n / self.longest * 255 + 0.5), 0, 255).astype(np.int64)
+        return np.concatenate([codes, lengths.reshape(len(x), self.parts)], axis=1)
 
     def decode(self, codes: np.ndarray) -> np.ndarray:
-        pieces = codes.reshape(len(codes) * self.parts, -1)
+        points, lengths = (codes[:, : -self.parts], codes[:, -self.parts :]) if self.longest else (codes, None)
+        pieces = points.reshape(len(codes) * self.parts, -1)
         n = np.linalg.norm(pieces, axis=1, keepdims=True)
-        return (pieces / np.where(n == 0, 1, n)).reshape(len(codes), -1)
+        unit = pieces / np.where(n == 0, 1, n)
+        return (unit if lengths is None else unit * lengths.reshape(-1, 1) / 255 * self.longest).reshape(len(codes), -1)
 
 
 # --- codecs that stay in expressions ------------------------------------------------------
@@ -405,10 +611,35 @@ class SpectralHash(Quantizer):
     def encode(self, x: np.ndarray) -> np.ndarray:
         return np.floor((x @ self.axes - self.centre) / self.period).astype(np.int64) & 1
 
+    def decode(self, codes: np.ndarray) -> np.ndarray:
+        """The middle of each half-period, on the axes."""
+        return (self.centre + (codes + 0.5) * self.period) @ self.axes.T
+
     def distances(self, q: np.ndarray, codes: np.ndarray) -> np.ndarray:
         return (self.encode(q)[:, None, :] != codes[None]).sum(axis=2).astype(float)
 
 
+class SignBits(Quantizer):
+    """Signs of the entries less thresholds (medians, if trained); distances are differing bits."""
+
+    def __init__(self, thresholds: np.ndarray):
+        self.thresholds = thresholds
+
+    @staticmethod
+    def train(x: np.ndarray, medians: bool = False) -> SignBits:
+        return SignBits(np.median(x, axis=0) if medians else np.zeros(x.shape[1]))
+
+    def encode(self, x: np.ndarray) -> np.ndarray:
+        return (x >= self.thresholds).astype(np.int64)
+
+    def decode(self, codes: np.ndarray) -> np.ndarray:
+        return 2.0 * codes - 1
+
+    def distances(self, q: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        own = self.encode(q)
+        return (own @ (1 - codes).T + (1 - own) @ codes.T).astype(float)
+
+
 @dataclass
 class IndependentLists(Quantizer):
     """Lists chosen in one space (a linear map of the vectors), codes kept in another."""

@@ -36,6 +36,13 @@ def k_least_per_row(rows: DataFrame, values: str, k: int, greatest: bool = False
     return rows.withColumn(values, F.slice(F.sort_array(values, asc=not greatest), 1, k))
 
 
+def partition(rows: DataFrame, k: int, by: str = "qid", value: str = "distance", id_col: str = "vec_id") -> DataFrame:
+    """by, threshold, n: the value that splits each group's k least from the rest (its greatest, if it
+    has no more), and how many don't exceed it. Groups are cut to k rows before the shuffle."""
+    edge = top_k(rows, k, by=by, distance=value, id_col=id_col).groupBy(by).agg(F.max(value).alias("threshold"))
+    return rows.join(edge, by).filter(F.col(value) <= F.col("threshold")).groupBy(by, "threshold").agg(F.count("*").alias("n"))
+
+
 def is_sorted(rows: DataFrame) -> DataFrame:
     """qid, in_order: whether ranks follow distances."""
     before = F.lag("distance").over(Window.partitionBy("qid").orderBy("rank"))

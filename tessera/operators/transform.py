@@ -62,7 +62,8 @@ def rotation(d_in: int, d_out: int | None = None, seed: int = 12345) -> Linear:
 
 
 def moments(vectors: DataFrame, vector: str = "embedding") -> tuple[int, np.ndarray, np.ndarray]:
-    """(n, mean, covariance), from sums that each task makes of its rows."""
+    """(n, mean, covariance): each task sums up its rows, and the sums are added by row of the
+    matrix; the driver gets a row a dimension."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, s, p = 0, 0.0, 0.0
@@ -71,22 +72,34 @@ def moments(vectors: DataFrame, vector: str = "embedding") -> tuple[int, np.ndar
                 x = matrix(batch.column(0))
                 n, s, p = n + len(x), s + x.sum(axis=0), p + x.T @ x
         if n:
-            yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([list(s)]), pa.array([list(p.ravel())])], names=["n", "s", "p"])
-
-    total = None
-    for r in vectors.select(vector).dropna().mapInArrow(run, "n long, s array<double>, p array<double>").toLocalIterator():
-        part = (r["n"], np.array(r["s"]), np.array(r["p"]))
-        total = part if total is None else tuple(a + b for a, b in zip(total, part, strict=True))
-    n, s, p = total
-    mean = s / n
-    return n, mean, p.reshape(len(s), len(s)) / n - np.outer(mean, mean)
-
-
-def pca(vectors: DataFrame, d_out: int, whiten: float = 0.0, rotate: bool = False) -> Linear:
-    """Principal components; whiten: the power of the eigenvalues that is divided out (-0.5 is full)."""
+            d = len(s)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, d * d + 1, d), pa.int32()), pa.array(p.ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(d)), pa.array(np.full(d, n)), pa.array(s), lists], names=["i", "n", "s", "p"])
+
+    parts = vectors.select(vector).dropna().mapInArrow(run, "i long, n long, s double, p array<double>")
+    first = vectors.select(vector).dropna().first()
+    if first is None:
+        raise ValueError("there are no vectors to take moments of")
+    sums = [F.sum(F.get("p", F.lit(j))) for j in range(len(first[0]))]
+    rows = sorted(parts.groupBy("i").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.array(*sums).alias("p")).collect(), key=lambda r: r["i"])
+    n, mean = rows[0]["n"], np.array([r["s"] for r in rows]) / rows[0]["n"]
+    return n, mean, np.array([r["p"] for r in rows]) / n - np.outer(mean, mean)
+
+
+def pca(vectors: DataFrame, d_out: int, whiten: float = 0.0, rotate: bool = False, bins: int = 0) -> Linear:
+    """Principal components; whiten: the power of the eigenvalues that is divided out (-0.5 is full);
+    bins: the components are ordered so that so many equal parts have about the same variance."""
     _, mean, cov = moments(vectors)
     values, axes = np.linalg.eigh(cov)
     order = np.argsort(values)[::-1][:d_out]
+    if bins:
+        if d_out % bins:
+            raise ValueError(f"{d_out} components don't fall into {bins} parts")
+        parts: list[list[int]] = [[] for _ in range(bins)]
+        for i in order.tolist():  # the next largest goes to the part that has least and has room
+            open_ = [p for p in parts if len(p) < d_out // bins]
+            min(open_, key=lambda p: sum(max(values[j], 0) for j in p)).append(i)
+        order = np.array([i for p in parts for i in p])
     a = axes[:, order].T * np.maximum(values[order], 1e-12)[:, None] ** whiten
     a = rotation(d_out).a @ a if rotate else a
     return Linear(a, -a @ mean)

@@ -1,25 +1,29 @@
 """Indexes from a description such as "PCA16,IVF64,Flat" or "OPQ8,IVF16,PQ8x6,RFlat".
 
     transforms   PCAn PCAWn PCARn (whitened, rotated)  RRn  L2norm  Centering  Padn  OPQm  ITQn
-    coarse       IVFn (Flat lists)
-    codes        Flat  SQ8 SQ6 SQ4 SQfp16  PQm PQmxb  RQmxb  LSQmxb  MinMax8  LSH  HNSWm  LSHt
+    coarse       IVFn, before any of the codes but LSH, LSHt and HNSW
+    codes        Flat  SQ8 SQ6 SQ4 SQfp16  PQm PQmxb  RQmxb  LSQmxb  MinMax8  LSH  LSHt  HNSWm
     wrappers     IDMap  RFlat
 
-Parts are separated by commas, transforms first.
+Parts are separated by commas, transforms first. Codes in lists are of residuals. With
+IDMap, add takes (external_id, embedding) and results carry external ids. An index is stored with
+save() and read with load().
 """
 
 from __future__ import annotations
 
+import json
 import re
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import binary, flat, graph, quantize, transform
 from tessera.operators.ivf import TRI, IvfIndex
 from tessera.operators.kmeans import KMeansParams
+from tessera.sources.shared import materialise
 
 
 class _Step:
@@ -43,9 +47,10 @@ class Index:
     nprobe: int = 1
     k_factor: int = 4
     ef: int = 64
+    id_map: bool = False
 
     def __post_init__(self):
-        self._chain, self._quantizer, self._ivf, self._base, self._stored = [], None, None, None, None
+        self._chain, self._quantizer, self._ivf, self._base, self._stored, self._ids, self._width = [], None, None, None, None, None, 0
 
     def _transformed(self, vectors: DataFrame) -> DataFrame:
         for step in self._chain:
@@ -61,11 +66,21 @@ class Index:
         kind, args = self.code
         if self.nlist and kind == "Flat":
             self._ivf = IvfIndex.train(now, self.nlist, self.metric, self.opt, params=KMeansParams(metric=self.metric))
-        elif kind not in ("Flat", "HNSW", "LSH"):
+        elif kind == "LSH":
+            self._width = len(now.select("embedding").first()[0])
+        elif kind not in ("Flat", "HNSW"):
             self._quantizer = _quantizer(kind, args, now, self.nlist)
         return self
 
     def add(self, vectors: DataFrame) -> Index:
+        if self.id_map:
+            first = 0 if self._ids is None else self._ids.agg(F.max("vec_id") + 1).first()[0] or 0
+            if "vec_id" in vectors.columns:
+                vectors = vectors.withColumn("external_id", F.col("vec_id"))
+            else:
+                vectors = materialise(vectors.withColumn("vec_id", F.monotonically_increasing_id() + first))
+            ids = vectors.select("vec_id", "external_id")
+            self._ids = ids if self._ids is None else self._ids.unionByName(ids)
         self._base = vectors.select("vec_id", "embedding") if self._base is None else self._base.unionByName(vectors.select("vec_id", "embedding"))
         now, kind = self._transformed(self._base), self.code[0]
         if self._ivf is not None:
@@ -73,8 +88,7 @@ class Index:
         elif kind == "HNSW":
             self._stored = graph.build(now, *self.code[1])
         elif kind == "LSH":
-            width = len(now.select("embedding").first()[0])
-            self._stored = (binary.from_vectors(now, width), width)
+            self._stored = binary.from_vectors(now, self._width)
         else:
             self._stored = self._quantizer.encoded(now) if self._quantizer else now
         return self
@@ -91,15 +105,54 @@ class Index:
         elif kind == "HNSW":
             out = graph.search(self._stored, moved, n, self.ef)
         elif kind == "LSH":
-            words, width = self._stored
-            out = binary.knn(binary.from_vectors(moved, width, "qid"), words, n)
+            out = binary.knn(binary.from_vectors(moved, self._width, "qid"), self._stored, n)
         elif isinstance(self._quantizer, quantize.TwoLevel):
             out = self._quantizer.search(moved, self._stored, n, self.nprobe)
         elif self._quantizer:
             out = self._quantizer.search(moved, self._stored, n)
         else:
             out = flat.knn(moved, self._stored, n, self.metric)
-        return flat.refine(out, queries, self._base, k, self.metric) if self.rerank else out
+        out = flat.refine(out, queries, self._base, k, self.metric) if self.rerank else out
+        return out.join(self._ids, "vec_id").select("qid", "rank", F.col("external_id").alias("vec_id"), "distance") if self.id_map else out
+
+    def save(self, path: str) -> None:
+        """Everything that searching needs: parameters and models as files beside the tables."""
+        if self._base is None:
+            raise ValueError("nothing was added")
+        spark = self._base.sparkSession
+        self._base.write.mode("overwrite").parquet(f"{path}/base")
+        if self._ids is not None:
+            self._ids.write.mode("overwrite").parquet(f"{path}/ids")
+        if self._ivf is not None:
+            self._stored.save(f"{path}/ivf")
+        elif self._stored is not None and self.code[0] != "Flat":
+            self._stored.write.mode("overwrite").parquet(f"{path}/codes")
+        if self._quantizer is not None:
+            quantize.save(self._quantizer, spark, f"{path}/quantizer")
+        steps = [{"a": s.a.tolist(), "b": None if s.b is None else s.b.tolist()} if isinstance(s, transform.Linear) else None for s in self._chain]
+        meta = {"description": self.description, "metric": self.metric, "nprobe": self.nprobe, "k_factor": self.k_factor, "ef": self.ef, "width": self._width, "steps": steps}
+        spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> Index:
+        meta = json.loads(spark.read.text(f"{path}/meta", wholetext=True).first()[0])
+        out = build(meta["description"], meta["metric"]).set(f"nprobe={meta['nprobe']},k_factor={meta['k_factor']},ef={meta['ef']}")
+        out._width, out._base = meta["width"], spark.read.parquet(f"{path}/base")
+        now = out._base
+        for (name, args), step in zip(out.transforms, meta["steps"], strict=True):
+            linear = step and transform.Linear(np.array(step["a"]), None if step["b"] is None else np.array(step["b"]))
+            out._chain.append(linear or _transform(name, args, now))
+            now = out._chain[-1].apply(now)
+        if out.id_map:
+            out._ids = spark.read.parquet(f"{path}/ids")
+        kind = out.code[0]
+        if out.nlist and kind == "Flat":
+            out._stored = out._ivf = IvfIndex.load(spark, f"{path}/ivf")
+        else:
+            out._stored = now if kind == "Flat" else spark.read.parquet(f"{path}/codes")
+            if kind not in ("Flat", "HNSW") and kind != "LSH":
+                out._quantizer = quantize.load(spark, f"{path}/quantizer")
+        return out
 
     def set(self, parameters: str) -> Index:
         """From text: "nprobe=16,k_factor=8"."""
@@ -113,7 +166,7 @@ class Index:
     def code_bytes(self, d: int) -> float:
         """Bytes a vector takes in codes."""
         kind, args = self.code
-        each = {"Flat": 4 * d, "HNSW": 4 * d, "LSH": d / 8, "SQ8": d, "SQ6": 0.75 * d, "SQ4": d / 2, "SQfp16": 2 * d}
+        each = {"Flat": 4 * d, "HNSW": 4 * d, "LSH": d / 8, "LSHt": d / 8, "MinMax8": d + 8, "SQ8": d, "SQ6": 0.75 * d, "SQ4": d / 2, "SQfp16": 2 * d}
         return each[kind] if kind in each else args[0] * args[1] / 8
 
 
@@ -137,12 +190,19 @@ def _transform(name: str, args: tuple, now: DataFrame):
 
 
 def _quantizer(kind: str, args: tuple, now: DataFrame, nlist: int) -> quantize.Quantizer:
-    if kind.startswith("SQ"):
-        return quantize.HalfFloat() if kind == "SQfp16" else quantize.ScalarQuantizer.train(now, int(kind[2:]))
+    if kind == "SQfp16" and not nlist:
+        return quantize.HalfFloat()
+    if kind.startswith("SQ") and not nlist:
+        return quantize.ScalarQuantizer.train(now, int(kind[2:]))
+    if kind == "MinMax8" and not nlist:
+        return quantize.RowwiseMinMax()
+    fits = {
+        "PQ": quantize.ProductQuantizer.train, "RQ": quantize.ResidualQuantizer.train, "LSQ": quantize.LocalSearchQuantizer.train, "MinMax8": lambda x: quantize.RowwiseMinMax(), "SQfp16": lambda x: quantize.HalfFloat(),
+        "LSH": quantize.SignBits.train, "LSHt": lambda x: quantize.SignBits.train(x, True),
+    }
+    fit = fits.get(kind) or (lambda x: quantize.ScalarQuantizer(x.min(axis=0), x.max(axis=0), int(kind[2:])))
     x = quantize.sample(now)
-    if kind == "PQ":
-        return quantize.TwoLevel.train(x, nlist, *args) if nlist else quantize.ProductQuantizer.train(x, *args)
-    return (quantize.ResidualQuantizer if kind == "RQ" else quantize.LocalSearchQuantizer).train(x, *args)
+    return quantize.TwoLevel.around(x, nlist, lambda rest: fit(rest, *args)) if nlist else fit(x, *args)
 
 
 def build(description: str, metric: str = "l2") -> Index:
@@ -156,12 +216,12 @@ def build(description: str, metric: str = "l2") -> Index:
         elif part in ("L2norm", "Centering"):
             out.transforms.append((part, ()))
         elif part == "IDMap":
-            continue
+            out.id_map = True
         elif m := re.fullmatch(r"IVF(\d+)", part):
             out.nlist = int(m[1])
         elif part == "RFlat":
             out.rerank = 1
-        elif part in ("Flat", "LSH", "SQ8", "SQ6", "SQ4", "SQfp16"):
+        elif part in ("Flat", "LSH", "LSHt", "MinMax8", "SQ8", "SQ6", "SQ4", "SQfp16"):
             out.code, done = (part, ()), True
         elif m := re.fullmatch(r"(PQ|RQ|LSQ)(\d+)(?:x(\d+))?", part):
             out.code, done = (m[1], (int(m[2]), int(m[3] or 8))), True
@@ -169,8 +229,8 @@ def build(description: str, metric: str = "l2") -> Index:
             out.code, done = ("HNSW", (number(m[1]) or 16,)), True
         else:
             raise ValueError(f"can't read {part!r} in {description!r}")
-    if out.nlist and out.code[0] in ("LSH", "HNSW", "RQ", "LSQ") or out.nlist and out.code[0].startswith("SQ"):
-        raise ValueError("lists hold Flat or PQ codes")
+    if out.nlist and out.code[0] in ("LSH", "LSHt", "HNSW"):
+        raise ValueError("lists hold vectors or codes of residuals")
     if not done and not out.nlist and not out.transforms:
         raise ValueError(f"{description!r} describes no index")
     return out

@@ -14,6 +14,43 @@ from tessera.operators.ivf import OPT_LEVELS, IvfIndex, opt_level
 LOG = "dataset string, nlist int, nprobe int, opt_level string, simi_ratio double, tri double, tri_large double, subnn_L2 double, subnn_IP double, simi_update_rate double, check_L2 double, check_IP double, time_speedup double, pruning_speedup double, query_time double, qps double, recall double, r2 double"
 
 
+class RepeatTimer:
+    """Times of a function run again and again, without the first `warmup` runs, until `runs` are done
+    or `seconds` have passed."""
+
+    def __init__(self, runs: int = 5, warmup: int = 1, seconds: float = float("inf")):
+        self.runs, self.warmup, self.seconds, self.times = runs, warmup, seconds, []
+
+    def run(self, f: Callable[[], object]) -> RepeatTimer:
+        began = time.time()
+        for i in range(self.warmup + self.runs):
+            at = time.time()
+            f()
+            if i >= self.warmup:
+                self.times.append(time.time() - at)
+            if time.time() - began > self.seconds and self.times:
+                break
+        return self
+
+    def mean(self) -> float:
+        return sum(self.times) / len(self.times)
+
+    def least(self) -> float:
+        return min(self.times)
+
+
+def stored_bytes(spark: SparkSession, path: str) -> int:
+    """What a saved index takes."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(where).getLength()
+
+
+def build_log(index: IvfIndex, path: str, seconds: float) -> DataFrame:
+    """One row for a run log: what was saved at path, its size and how long building took."""
+    spark = index.rows.sparkSession
+    return spark.createDataFrame([(path, index.nlist, index.opt, stored_bytes(spark, path), float(seconds))], "path string, nlist int, opt int, bytes long, build_seconds double")
+
+
 def nprobe_ladder(nlist: int) -> list[int]:
     """Powers of two below nlist."""
     return [1 << i for i in range(max(1, nlist.bit_length())) if 1 << i < max(2, nlist)]
@@ -33,17 +70,24 @@ def parameter_space(nlist: int = 0, refined: bool = False, graph: bool = False,
 
 
 def dominated(point: dict, done: list[dict]) -> bool:
-    """Whether an experiment can't help: its parameters are all at most those of one that was no
-    better than a faster one, or all at least those of one that already had the best recall."""
-    return any(all(point[k] >= d[k] for k in point) and d["performance"] >= 1 for d in done)
+    """Whether an experiment can't help. More of any parameter costs time and doesn't lose
+    performance, so those done bound it: it performs no better than one with all parameters at least
+    its own, and takes no less than one with all at most its own. It is left out if another
+    experiment is as good as the first bound and as fast as the second."""
+    most = min((d["performance"] for d in done if all(d[k] >= point[k] for k in point)), default=1.0)
+    least = max((d["time"] for d in done if all(d[k] <= point[k] for k in point)), default=0.0)
+    return any(d["performance"] >= most and d["time"] <= least for d in done)
 
 
-def explore(space: dict[str, list], run: Callable[[dict], tuple[float, float]], limit: int = 1000) -> list[dict]:
-    """Runs the experiments that may help, cheapest first; run gives (performance, time)."""
+def explore(space: dict[str, list], run: Callable[[dict], tuple[float, float]], limit: int | None = None) -> list[dict]:
+    """Runs the experiments that may help, cheapest first; run gives (performance, time). More than
+    `limit` of them is an error."""
     done: list[dict] = []
     for values in sorted(product(*space.values())):
         point = dict(zip(space, values, strict=True))
-        if len(done) < limit and not dominated(point, done):
+        if not dominated(point, done):
+            if limit is not None and len(done) == limit:
+                raise ValueError(f"more than {limit} experiments")
             performance, took = run(point)
             done.append(point | {"performance": performance, "time": took})
     return done

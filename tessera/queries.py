@@ -6,6 +6,7 @@ rounded to six decimals before ranking, ties go to the lesser id.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -14,8 +15,9 @@ from pyspark.sql import functions as F
 
 from tessera.functions import vectors as V
 from tessera.functions.vectors import METRICS
-from tessera.operators import binary, evaluate, flat, graph, kmeans, maintain, multi, quantize, select, topk, transform
+from tessera.operators import batch, binary, evaluate, flat, graph, kmeans, maintain, multi, quantize, select, topk, transform
 from tessera.operators.ivf import SUBNN_IP, SUBNN_L2, TRI, IvfIndex
+from tessera.sources.shared import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -44,6 +46,11 @@ def positive(spark: SparkSession, sf: str) -> DataFrame:
     return base(spark, sf).select("vec_id", F.transform("embedding", lambda x: F.abs(x.cast("double")) + 0.001).alias("embedding"))
 
 
+def whole(spark: SparkSession, sf: str) -> DataFrame:
+    """Vectors of whole numbers, as bytes have them."""
+    return base(spark, sf).select("vec_id", F.transform("embedding", lambda x: F.floor(x.cast("double") * 127 + 128).cast("int")).alias("embedding"))
+
+
 def parts(spark: SparkSession, sf: str) -> DataFrame:
     """A base of low dimension, where radii prune: size and price of a part, in fixed units."""
     part = spark.read.parquet(f"{sf}/part.parquet")
@@ -82,6 +89,9 @@ SQL_METRICS = {
     "l2": lambda a, b: _sum(a, b, f"({_X} - {_Y}) * ({_X} - {_Y})"),
     "ip": lambda a, b: _sum(a, b, f"{_X} * {_Y}"),
     "cosine": lambda a, b: f"{_sum(a, b, f'{_X} * {_Y}')} / sqrt({_sum(a, a, f'{_X} * {_Y}')} * {_sum(b, b, f'{_X} * {_Y}')})",
+    "ip_distance": lambda a, b: f"1 - {_sum(a, b, f'{_X} * {_Y}')}",
+    "cosine_distance": lambda a, b: f"1 - {_sum(a, b, f'{_X} * {_Y}')} / sqrt({_sum(a, a, f'{_X} * {_Y}')} * {_sum(b, b, f'{_X} * {_Y}')})",
+    "l2_whole": lambda a, b: _sum(a, b, f"({_X} - {_Y}) * ({_X} - {_Y})"),
     "l1": lambda a, b: _sum(a, b, f"abs({_X} - {_Y})"),
     "linf": lambda a, b: f"list_max(list_transform(list_zip({a}, {b}), lambda z: abs({_X} - {_Y})))",
     "lp": lambda a, b: _sum(a, b, f"pow(abs({_X} - {_Y}), 3)"),
@@ -92,6 +102,7 @@ SQL_METRICS = {
 }
 B64 = "SELECT vec_id, embedding AS e FROM embeddings"
 POS = "SELECT vec_id, list_transform(embedding, lambda x: abs(x::DOUBLE) + 0.001) AS e FROM embeddings"
+WHOLE = "SELECT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 127 + 128)) AS e FROM embeddings"
 PART = "SELECT p_partkey AS vec_id, [p_size / 10.0::DOUBLE, p_retailprice / 100.0::DOUBLE] AS e FROM part"
 
 
@@ -126,7 +137,7 @@ def _ivf_pairs(nprobe: int, metric: str = "l2") -> str:
 # --- exact search -------------------------------------------------------------------------
 
 for _m in METRICS:
-    _source, _sql = (positive, POS) if _m in ("jensen_shannon", "jaccard") else (base, B64)
+    _source, _sql = (positive, POS) if _m in ("jensen_shannon", "jaccard") else (whole, WHOLE) if _m == "l2_whole" else (base, B64)
 
     def _flat(spark, sf, m=_m, source=_source):
         rows = source(spark, sf)
@@ -173,8 +184,8 @@ def range_capped(spark, sf):
 def knn_by_listed_ids(spark, sf):
     rows = base(spark, sf)
     q = asked(rows)
-    ids = q.select("qid", "embedding").join(rows.select("vec_id"), F.pmod(F.abs(F.col("qid") - F.col("vec_id")), F.lit(7)) == 3)
-    lists = ids.groupBy("qid", "embedding").agg(F.collect_list("vec_id").alias("ids"))
+    most = rows.agg(F.max("vec_id")).first()[0]
+    lists = q.withColumn("ids", F.filter(F.sequence(F.lit(0).cast("long"), F.lit(most)), lambda x: F.pmod(F.abs(F.col("qid") - x), F.lit(7)) == 3))
     return flat.knn_by_listed_ids(lists, rows, K)
 
 
@@ -391,18 +402,22 @@ def ivf_tri_ip(spark, sf):
     return trained_index(rows, TRI, metric="ip").search(asked(rows), K, 16)
 
 
-@_register()
+@_register("SELECT true AS most_found, true AS none_beyond")
 def ivf_lossy(spark, sf):
-    """Recall of a bound scaled to 0.7 (a property: 1 at most, and not far below)."""
+    """A bound scaled to 0.7 finds most, and never more than there is."""
     rows = parts(spark, sf)
     index = trained_index(rows, TRI)
-    return evaluate.recall_at_k(index.search(asked(rows), K, 16, ratio=0.7), flat.knn(asked(rows), rows, K), K)
+    recall = evaluate.recall_at_k(index.search(asked(rows), K, 16, ratio=0.7), flat.knn(asked(rows), rows, K), K)
+    return recall.select((F.col("recall") >= 0.9).alias("most_found"), (F.col("recall") <= 1).alias("none_beyond"))
 
 
-@_register()
+@_register("SELECT count(*) FILTER (p_partkey % 20 = 0) * count(*) AS total, true AS adds_up, true AS prunes FROM part")
 def prune_statistics(spark, sf):
+    """All pairs are candidates, and each is measured or skipped by one rule."""
     rows = parts(spark, sf)
-    return trained_index(rows, 7).statistics(asked(rows), K, 16)
+    s = trained_index(rows, 7).statistics(asked(rows), K, 16)
+    skipped = sum((F.col(c) for c in ("skip_tri", "skip_tri_large", "skip_l2", "skip_ip")), F.lit(0))
+    return s.select("total", (F.col("computed") + skipped == F.col("total")).alias("adds_up"), (F.col("pruning_speedup") > 1).alias("prunes"))
 
 
 @_register(f"""WITH t AS (SELECT p.qid, sqrt(p.distance) AS d, a.vec_id, sqrt(a.distance) AS r FROM ({_PROBES}) p JOIN ({_ASSIGNED}) a USING (list_id))
@@ -412,7 +427,7 @@ def prune_counts_tri(spark, sf):
     index = label_index(spark, sf)
     probes = index.coarse(asked(base(spark, sf)), 100).select("qid", "list_id", F.sqrt("distance").alias("d"))
     rows = flat.assign(base(spark, sf), label_centroids(spark, sf)).select("vec_id", "list_id", F.sqrt("distance").alias("r"))
-    both = rows.join(F.broadcast(probes), "list_id")  # a row a query and list
+    both = rows.join(probes, "list_id")
     return both.groupBy("qid").agg(F.count("*").alias("total"), F.sum((F.col("r") < F.col("d") - 0.1).cast("long")).alias("below"), F.sum((F.col("r") > F.col("d") + 0.1).cast("long")).alias("above"))
 
 
@@ -461,11 +476,14 @@ def kmeans_step(spark, sf):
     return spark.createDataFrame([(i, [float(np.floor(x * 1e6 + 0.5) / 1e6) for x in c]) for i, c in enumerate(new)], "list_id int, centroid array<double>")
 
 
-@_register()
+@_register("SELECT i::INTEGER AS iteration, true AS no_worse, true AS balanced FROM range(10) t(i)")
 def kmeans_train(spark, sf):
-    """Objective and imbalance of each iteration (a property: the objective doesn't grow)."""
+    """The objective doesn't grow from one iteration to the next, unless a cluster was split, and the
+    imbalance factor is at least 1 and at most the number of lists."""
     model = kmeans.train(base(spark, sf), 16, kmeans.KMeansParams(niter=10))
-    return spark.createDataFrame([(i, float(h["objective"]), float(h["imbalance"]), int(h["splits"])) for i, h in enumerate(model.history)], "iteration int, objective double, imbalance double, splits int")
+    h = model.history
+    rows = [(i, i == 0 or x["objective"] <= h[i - 1]["objective"] * (1 + 1e-9) or h[i - 1]["splits"] > 0, 1 - 1e-9 <= x["imbalance"] <= 16) for i, x in enumerate(h)]
+    return spark.createDataFrame([(i, bool(a), bool(b)) for i, a, b in rows], "iteration int, no_worse boolean, balanced boolean")
 
 
 # --- upkeep -------------------------------------------------------------------------------
@@ -722,30 +740,40 @@ _ONE = "SELECT p_partkey AS vec_id, [p_retailprice] AS e FROM part"
 @_register(_knn(_ONE))
 def flat_1d(spark, sf):
     rows = spark.read.parquet(f"{sf}/part.parquet").select(F.col("p_partkey").alias("vec_id"), F.array("p_retailprice").alias("embedding"))
-    return flat.knn(asked(rows), rows, K)
+    return flat.sorted_knn(asked(rows), rows, K)
 
 
-@_register()
+@_register(f"SELECT vec_id AS qid, {K}::BIGINT AS n, true AS known FROM embeddings WHERE vec_id % 20 = 0")
 def random_index(spark, sf):
-    return multi.random_results(asked(base(spark, sf)), base(spark, sf), K)
+    """K different ids of the base for each query."""
+    rows = base(spark, sf)
+    found = multi.random_results(asked(rows), rows, K).join(rows.select("vec_id", F.lit(True).alias("known")), "vec_id", "left")
+    return found.groupBy("qid").agg(F.countDistinct("vec_id").alias("n"), F.min(F.coalesce("known", F.lit(False))).alias("known"))
 
 
-@_register()
+@_register("SELECT tri_ef::INTEGER AS tri_ef, true AS most_found FROM (VALUES (0), (100)) t(tri_ef)")
 def graph_knn(spark, sf):
-    """Recall of the graph search, with and without the triangle test."""
+    """Recall of the graph search is 0.95 or more, with and without the triangle test."""
     rows = base(spark, sf)
     g, truth = graph.build(rows, 16, 100), flat.knn(asked(rows), rows, K)
     plain = evaluate.recall_at_k(graph.search(g, asked(rows), K, 100), truth, K)
-    return plain.withColumn("tri_ef", F.lit(0)).union(evaluate.recall_at_k(graph.search(g, asked(rows), K, 100, 100), truth, K).withColumn("tri_ef", F.lit(100)))
+    both = plain.withColumn("tri_ef", F.lit(0)).union(evaluate.recall_at_k(graph.search(g, asked(rows), K, 100, 100), truth, K).withColumn("tri_ef", F.lit(100)))
+    return both.select("tri_ef", (F.col("recall") >= 0.95).alias("most_found"))
 
 
-@_register()
+_NEIGHBOURS = f"SELECT vec_id, rank, nbr_id, distance FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY distance, nbr_id)::INTEGER AS rank FROM (SELECT a.vec_id, b.vec_id AS nbr_id, {_r(SQL_METRICS['l2']('a.e', 'b.e'))} AS distance FROM ({B64}) a JOIN ({B64}) b ON a.vec_id <> b.vec_id)) WHERE rank <= {K}"
+
+
+@_register(_NEIGHBOURS)
 def neighbour_descent(spark, sf):
-    return graph.descend(base(spark, sf), K)
+    """Up to 4096 rows, one block, descent ends where it starts: with the exact neighbours."""
+    return graph.descend(base(spark, sf), K).select(F.col("vec_id"), "rank", "nbr_id", "distance")
 
 
-def _codec(make, recall_of: int = 100):
-    """Recall among the first `recall_of` of a search over codes, and the mean error of decoding."""
+def _codec(make, recall_of: int = 100, least: float = 0.5, most: float = 0.9):
+    """Whether a search over codes has the true nearest among its first `recall_of` for a share of
+    `least` of the queries, and whether decoding leaves a mean squared error below `most` (of unit
+    vectors)."""
 
     def run(spark, sf):
         rows = base(spark, sf)
@@ -753,7 +781,11 @@ def _codec(make, recall_of: int = 100):
         codes = q.encoded(rows).cache()
         found, truth = q.search(asked(rows), codes, recall_of), flat.knn(asked(rows), rows, 1)
         error = rows.join(q.decoded(codes).withColumnRenamed("embedding", "back"), "vec_id").agg(F.avg(V.squared_l2(F.col("embedding"), F.col("back"))).alias("error"))
-        return evaluate.one_recall_at(found, truth, recall_of).crossJoin(error)  # one row each
+        both = evaluate.one_recall_at(found, truth, recall_of).crossJoin(error)  # one row each
+        out = both.select((F.col("one_recall") >= least).alias("most_found"), (F.col("error") < most).alias("near"))
+        out = spark.createDataFrame(out.collect(), out.schema)  # one row
+        codes.unpersist()
+        return out
 
     return run
 
@@ -768,14 +800,25 @@ for _n, _make in {
     "independent_lists": lambda x: quantize.IndependentLists.train(x, np.eye(64)[:16], 16, 8, 6),
     "two_level": lambda x: quantize.TwoLevel.train(x, 8, 4, 6),
     "half_float": lambda x: quantize.HalfFloat(),
-    "lattice": lambda x: quantize.Lattice(8, 14),
+    "lattice": lambda x: quantize.Lattice.train(x, 8, 14),
+    "ranked_lattice": lambda x: quantize.RankedLattice(16, 6, 64),
+    "norm_coded": lambda x: quantize.NormCoded.train(x, quantize.ResidualQuantizer.train(x, 4, 5, beam=4)),
+    "rowwise_half": lambda x: quantize.RowwiseMinMax(8, half=True),
+    "pq_symmetric": lambda x: quantize.ProductQuantizer.train(x, 8, 6).searching("symmetric"),
+    "pq_polysemous": lambda x: quantize.ProductQuantizer.train(x, 8, 6).reordered().searching("polysemous", 24),
+    "ivfpq_polysemous": lambda x: quantize.TwoLevel.around(x, 8, lambda rest: quantize.ProductQuantizer.train(rest, 8, 6).reordered().searching("polysemous", 28)),
+    "ivf_residual_quantizer": lambda x: quantize.TwoLevel.around(x, 8, lambda rest: quantize.ResidualQuantizer.train(rest, 4, 5)),
+    "ivf_sq4": lambda x: quantize.TwoLevel.around(x, 8, lambda rest: quantize.ScalarQuantizer(rest.min(axis=0), rest.max(axis=0), 4)),
+    "ivf_spectral_hash": lambda x: quantize.TwoLevel.around(x, 4, lambda rest: quantize.SpectralHash.train(rest, 32, 0.5)),
 }.items():
-    _register(None, f"codec_{_n}")(_codec(_make))
+    # points and hashes keep directions, not lengths
+    _loose = {"most": 20.0} if _n in ("ranked_lattice",) else {"most": 1e9, "least": 0.3} if _n == "ivf_spectral_hash" else {}
+    _register("SELECT true AS most_found, true AS near", f"codec_{_n}")(_codec(_make, **_loose))
 
 
-@_register()
+@_register("SELECT true AS keeps_most, true AS undone")
 def pca(spark, sf):
-    """Share of the variance that 16 components keep, and the error of undoing a rotation."""
+    """16 components of 64 keep more than an even share of the variance, and a rotation is undone."""
     rows = base(spark, sf).select("vec_id", "embedding")
     _, _, cov = transform.moments(rows)
     p = transform.pca(rows, 16)
@@ -783,4 +826,121 @@ def pca(spark, sf):
     back = turn.reverse(turn.apply(rows)).withColumnRenamed("embedding", "back")
     kept = p.apply(rows).agg(F.avg(V.squared_norm(F.col("embedding"))).alias("kept"))
     error = rows.join(back, "vec_id").agg(F.max(V.squared_l2(F.col("embedding"), F.col("back"))).alias("error"))
-    return kept.crossJoin(error).select((F.col("kept") / F.lit(float(np.trace(cov)))).alias("kept"), "error")  # one row each
+    return kept.crossJoin(error).select((F.col("kept") / F.lit(float(np.trace(cov))) > 0.25).alias("keeps_most"), (F.col("error") < 1e-9).alias("undone"))  # one row each
+
+
+# --- more searches and measures -----------------------------------------------------------
+
+
+@_register(_top(_ivf_pairs(3), K))
+def big_batch_knn(spark, sf):
+    """Queries dealt to lists, lists met piece by piece, slices written one by one."""
+    path = f"{shared_folder(spark)}/batch-{uuid.uuid4().hex}"
+    return batch.big_batch(label_index(spark, sf), asked(base(spark, sf)), K, 3, path, slices=2, rows=64, most=16)
+
+
+@_register(_knn())
+def running_knn(spark, sf):
+    """The k best so far over four blocks of the base."""
+    return batch.running_knn(asked(base(spark, sf)), base(spark, sf), K, f"{shared_folder(spark)}/running-{uuid.uuid4().hex}", blocks=4)
+
+
+@_register(_top(f"""WITH s AS (SELECT list_id, count(*) AS n FROM ({_ASSIGNED}) GROUP BY list_id), p AS (SELECT qid, e, list_id, coalesce(sum(coalesce(n, 0)) OVER (PARTITION BY qid ORDER BY probe_rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM ({_PROBES}) LEFT JOIN s USING (list_id))
+SELECT p.qid, a.vec_id, {_r(SQL_METRICS['l2']('p.e', 'a.e'))} AS distance FROM p JOIN ({_ASSIGNED}) a USING (list_id) WHERE p.before < 150""", K))
+def ivf_knn_max_codes(spark, sf):
+    return label_index(spark, sf).search(asked(base(spark, sf)), K, 100, max_codes=150)
+
+
+@_register(_knn(PART))
+def ivf_axes(spark, sf):
+    """Vectors ruled out by their angle to the axes, as seen from the centroid."""
+    rows = parts(spark, sf)
+    return trained_index(rows, TRI).search(asked(rows), K, 16, axes=2)
+
+
+@_register(_knn(PART))
+def ivf_random_neighbours(spark, sf):
+    """The neighbour rules over random members of a list."""
+    rows = parts(spark, sf)
+    plain = trained_index(rows, 0)
+    return IvfIndex(plain.centroids, plain.rows, opt=7).with_random_neighbours().search(asked(rows), K, 16)
+
+
+@_register(_knn(where="b.vec_id % 7 <> 0"))
+def knn_not_deleted(spark, sf):
+    """Vectors with a deletion mark are no results."""
+    rows = base(spark, sf)
+    marks = rows.filter("vec_id % 7 = 0").select("vec_id")
+    return flat.knn(asked(rows), select.in_table(rows, marks, keep=False), K)
+
+
+@_register("SELECT vec_id AS qid, true AS fits FROM embeddings WHERE vec_id % 20 = 0")
+def graph_knn_filtered(spark, sf):
+    """A graph search under a selector returns selected vectors only, K a query."""
+    rows = base(spark, sf)
+    found = graph.search(graph.build(rows, 16, 100), asked(rows), K, 200, allowed=select.Predicate(lambda c: c % 3 == 1))
+    return found.groupBy("qid").agg((F.min((F.col("vec_id") % 3 == 1).cast("int")) * (F.count("*") == K).cast("int") == 1).alias("fits"))
+
+
+@_register(f"SELECT q.vec_id AS qid, list({_r(SQL_METRICS['l2']('q.e', 'c.c'))} ORDER BY c.list_id) AS distances FROM ({B64}) q, ({_CENTROIDS}) c WHERE q.vec_id % 20 = 0 GROUP BY q.vec_id")
+def pairwise_l2(spark, sf):
+    """The matrix of queries by centroids."""
+    c = label_centroids(spark, sf).select(F.col("list_id").cast("long").alias("vec_id"), F.col("centroid").alias("embedding"))
+    return flat.pairwise(asked(base(spark, sf)), c)
+
+
+@_register(f"SELECT vec_id, (list_position(m, list_min(m)) - 1)::INTEGER AS at, {_r('list_min(m)')} AS least FROM (SELECT vec_id, list_transform(list_zip(e, list_reverse(e)), lambda z: {_X} + 2 * {_Y}) AS m FROM ({B64}))")
+def multiply_add_argmin(spark, sf):
+    found = base(spark, sf).select("vec_id", V.multiply_add_argmin(F.col("embedding"), 2.0, F.reverse("embedding")).alias("f"))
+    return found.select("vec_id", F.col("f.at").alias("at"), topk.rounded(F.col("f.least")).alias("least"))
+
+
+_SPARSE = "SELECT vec_id, pos, v FROM (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS pos, unnest(embedding)::DOUBLE AS v FROM embeddings) WHERE abs(v) > 0.15"
+
+
+@_register(f"""WITH x AS ({_SPARSE}), c AS (SELECT list_id, unnest(c) AS c, generate_subscripts(c, 1) - 1 AS pos FROM ({_CENTROIDS})), cc AS (SELECT list_id, sum(c * c) AS cc FROM c GROUP BY list_id), xx AS (SELECT vec_id, sum(v * v) AS xx FROM x GROUP BY vec_id),
+d AS (SELECT x.vec_id, c.list_id, sum(x.v * c.c) AS xc FROM x JOIN c USING (pos) GROUP BY ALL) SELECT vec_id, list_id, distance FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY distance, list_id) AS n FROM
+(SELECT xx.vec_id, cc.list_id, {_r('xx + cc - 2 * coalesce(xc, 0)')} AS distance FROM xx CROSS JOIN cc LEFT JOIN d ON d.vec_id = xx.vec_id AND d.list_id = cc.list_id)) WHERE n = 1""")
+def sparse_assign(spark, sf):
+    """Sparse vectors (entries above 0.15) to their nearest centroid, by products of entries."""
+    x = base(spark, sf).select("vec_id", F.posexplode("embedding").alias("pos", "v")).withColumn("value", F.col("v").cast("double")).filter("abs(value) > 0.15")
+    return kmeans.sparse_assign(x.select("vec_id", "pos", "value"), label_centroids(spark, sf))
+
+
+@_register(f"SELECT (pos - 1)::INTEGER AS pos, byte, count(*) AS n FROM (SELECT generate_subscripts(code, 1) AS pos, unnest(code) AS byte FROM ({_SQ8})) GROUP BY ALL")
+def byte_histogram(spark, sf):
+    return maintain.byte_histogram(sq8_encode(spark, sf))
+
+
+@_register(f"WITH p AS ({_pairs()}), e AS (SELECT qid, max(distance) AS threshold FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY distance, vec_id) AS n FROM p) WHERE n <= 25 GROUP BY qid) SELECT qid, threshold, count(*) AS n FROM p JOIN e USING (qid) WHERE distance <= threshold GROUP BY ALL")
+def partition_threshold(spark, sf):
+    """The distance that splits each query's 25 nearest from the rest."""
+    rows = base(spark, sf)
+    return topk.partition(flat.range_search(asked(rows), rows, 100.0), 25)
+
+
+@_register(f"""WITH g AS ({_TRUTH}), f AS ({_FOUND}), e AS (SELECT qid, max(distance) AS edge FROM g GROUP BY qid)
+SELECT {_r('avg(share)')} AS similarity FROM (SELECT f.qid, avg(CASE WHEN g.vec_id IS NOT NULL OR f.distance <= edge + 1e-6 THEN 1.0 ELSE 0.0 END) AS share FROM f JOIN e USING (qid) LEFT JOIN g ON g.qid = f.qid AND g.vec_id = f.vec_id GROUP BY f.qid)""")
+def similarity(spark, sf):
+    return evaluate.similarity(*_both(spark, sf)).select(topk.rounded(F.col("similarity")).alias("similarity"))
+
+
+@_register(f"""WITH a AS ({_RF}), b AS ({_RT}) SELECT coalesce(a.qid, b.qid) AS qid, count(*) FILTER (b.qid IS NULL) AS only_a, count(*) FILTER (a.qid IS NULL) AS only_b, count(*) FILTER (a.distance <> b.distance) AS moved
+FROM a FULL JOIN b ON a.qid = b.qid AND a.vec_id = b.vec_id GROUP BY 1""")
+def compare_ranges(spark, sf):
+    rows = base(spark, sf)
+    return evaluate.compare_ranges(label_index(spark, sf).range_search(asked(rows), 1.3, 3), flat.range_search(asked(rows), rows, 1.2))
+
+
+@_register(f"""WITH a AS ({_RF}), b AS (SELECT *, CASE WHEN distance < 0.8 THEN 4.0 WHEN distance < 1.1 THEN 1.0 ELSE 0.0 END AS w FROM ({_RT}))
+SELECT {_r('sum(CASE WHEN a.qid IS NOT NULL THEN w ELSE 0 END) / sum(w)')} AS weighted_recall FROM b LEFT JOIN a ON a.qid = b.qid AND a.vec_id = b.vec_id""")
+def weighted_range_recall(spark, sf):
+    rows = base(spark, sf)
+    out = evaluate.weighted_range_recall(label_index(spark, sf).range_search(asked(rows), 1.3, 3), flat.range_search(asked(rows), rows, 1.2), [(0.8, 4.0), (1.1, 1.0)])
+    return out.select(topk.rounded(F.col("weighted_recall")).alias("weighted_recall"))
+
+
+@_register("SELECT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 127 + 128)::INTEGER) AS code FROM embeddings")
+def sq8_direct(spark, sf):
+    """Whole numbers from 0 to 255 are their own codes."""
+    return quantize.Direct8().encoded(whole(spark, sf))
