@@ -16,8 +16,9 @@ beside each other, and in a BPE model's long runs of marks at every longest run
 are found for each different stretch between such places, many at a time, and remembered within
 bounds (lattice.Memo). Decoding writes the pieces' bytes.
 
-Not compiled: models with a table of character replacements, with user-defined or unused pieces, or
-with a piece that has a mark after another character. They are refused with a ValueError.
+Not compiled: models with a table of character replacements, with user-defined or unused pieces,
+with a piece that has a mark after another character, or BPE models that score a piece above its
+parts (training doesn't make them). They are refused with a ValueError.
 
 Defined results: a null or empty text has no ids and decodes to an empty text; texts of any length
 are encoded whole; rows that repeat are encoded each for itself; an empty table gives no rows;
@@ -185,6 +186,9 @@ class Transducer:
                 x, y = of(p[:cut]), of(p[cut:])
                 if x >= 0 and y >= 0:
                     a.append(x), b.append(y), c.append(order[score[p]])
+        late = np.flatnonzero(rank >= 0)
+        if (np.maximum(rank[left[late]], rank[right[late]]) >= rank[late])[runs[late] == 0].any():
+            raise ValueError("a piece that is merged before its parts can't be told from pairs")
         return Merges(rank, left, right, (np.array(a, np.int64), np.array(b, np.int64), np.array(c, np.int64)), runs, settled, single.get(MARK, -1))
 
     @staticmethod
