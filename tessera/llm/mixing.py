@@ -7,7 +7,10 @@ document, and taken while their running sum of sizes stays nearest to the rest.
 
 The running sum never puts a source into one task. A source's keys are cut into cells of about
 CELL_ROWS documents (the cell count follows the source's row count); sizes are summed by cell, the
-sums are accumulated over cells, and only the one cell that crosses the budget is sorted.
+sums are accumulated over cells, and only the one cell that crosses the budget is sorted. Keys are
+laid out by the least weight, so that no cell has more than the ratio of the greatest weight to
+LEAST_WEIGHT times CELL_ROWS documents, as expected; smaller weights than that change no result, but
+crowd the last cells.
 
 Defined results: a null text has size 0; a null source is a source of its own, the last; documents
 of size 0 are taken in complete epochs only for nothing (taken 0); rows alike in id, size and text
@@ -27,20 +30,21 @@ WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
 MOST = 2.0
 CELL_ROWS = 4096
+LEAST_WEIGHT = 0.25
 #: The plan has a row a source and is broadcast; more sources than this are an error.
 MOST_SOURCES = 50_000
 SEED = 42
 
 
 def quality_weight(text: Column, n_words: Column) -> Column:
-    """Weight of a document in the sample, from 0.25 to 1: how far it stays from the limits of the
+    """Weight of a document in the sample, from LEAST_WEIGHT to 1: how far it stays from the limits of the
     quality rules (rule_ledger.RULES) on length, symbols, repeated lines and capitals."""
     text = F.coalesce(text, F.lit(""))
     share = lambda a, b: F.least(F.lit(1.0), F.coalesce(a / F.nullif(b, F.lit(0)), F.lit(0.0)))
     m, lines = rule_ledger.counts(text), rule_ledger.line_counts(text)
     repeated = let(lines, lambda x: share(2 * x.getField("dup"), x.getField("n")))
     clean = (1 - share(4 * m["n_symbols"], n_words)) * (1 - repeated) * (1 - share(2 * m["n_upper"], m["word_chars"]))
-    return 0.25 + 0.75 * clean * F.least(F.lit(1.0), n_words / 20)
+    return LEAST_WEIGHT + (1 - LEAST_WEIGHT) * clean * F.least(F.lit(1.0), n_words / 20)
 
 
 def targets(sizes: list[tuple[str | None, int]], weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> dict:
@@ -80,9 +84,10 @@ def _narrow(docs: DataFrame, id_col: str, text: str, source: str, weight: Column
         F.col("doc").getField(source).alias("source"),
         draw.alias("draw"),
     ).withColumn("weight", weight.cast("double"))
-    # u in (0, 1); 1 - u ** (1 / weight) orders as the exponential key does and stays in (0, 1)
+    # u in (0, 1); 1 - u ** (LEAST_WEIGHT / weight) orders as the exponential key does, stays in (0, 1)
+    # and is uniform for the least weight, denser at the lower end by weight / LEAST_WEIGHT at most
     u = (F.shiftrightunsigned("draw", 11).cast("double") + 0.5) / F.lit(float(1 << 53))
-    return row.withColumn("place", 1 - F.pow(u, 1 / F.col("weight")))
+    return row.withColumn("place", 1 - F.pow(u, LEAST_WEIGHT / F.col("weight")))
 
 
 _ORDER = ("place", "doc_id", "size", "draw")

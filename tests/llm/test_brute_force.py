@@ -160,6 +160,16 @@ def test_mix_is_efraimidis_spirakis(spark, documents, monkeypatch):
                 assert (got["epochs"], got["sampled"]) == (epochs, taken)
 
 
+@pytest.mark.parametrize("weight", [0.25, 0.5, 1.0])
+def test_no_cell_of_the_mix_is_crowded(spark, weight):
+    """Wherever the budget crosses, what is sorted stays within weight / LEAST_WEIGHT cells."""
+    docs = spark.range(40_000).select(F.col("id").alias("doc_id"), F.lit("a b").alias("text"), F.lit("s").alias("source"))
+    at = mixing._narrow(docs, "doc_id", "text", "source", F.lit(weight), mixing.SEED)
+    counts = [r["count"] for r in at.groupBy(F.floor(F.col("place") * 100)).count().collect()]
+    assert sum(counts) == 40_000
+    assert max(counts) <= 1.3 * 400 * weight / mixing.LEAST_WEIGHT
+
+
 # --- 6: fingerprints ----------------------------------------------------------------------
 
 
