@@ -5,9 +5,10 @@ floor(q) times (complete epochs) and fills the rest with a weighted sample witho
 documents are put in ascending order of an exponential key, -ln(u) / weight with u a hash of the
 document, and taken while their running sum of sizes stays nearest to the rest.
 
-The running sum never puts a source into one task. A source's keys are cut into cells of about
-CELL_ROWS documents (the cell count follows the source's row count); sizes are summed by cell, the
-sums are accumulated over cells, and only the one cell that crosses the budget is sorted. Keys are
+The running sum never puts a source into one task. A source's keys are cut into cells, twice the root
+of the source's row count, or more, so that they have about CELL_ROWS documents at most; sizes are
+summed by cell, the sums are accumulated over cells, and only the one cell that crosses the budget
+is sorted. Keys are
 laid out by the least weight, so that no cell has more than the ratio of the greatest weight to
 LEAST_WEIGHT times CELL_ROWS documents, as expected; smaller weights than that change no result, but
 crowd the last cells.
@@ -20,6 +21,8 @@ matter, whatever their names. Texts of any length count whole.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -102,7 +105,7 @@ def _plan(narrow: DataFrame, weights, share: float, most: float) -> DataFrame:
     sums = [(r["source"], r["size"], r["n"]) for r in found]
     aims = targets([(name, size) for name, size, _ in sums], weights, share, most)
     plan = spark.createDataFrame(
-        [(name, size, aims[name], *_epochs(aims[name], size), max(1, n // CELL_ROWS)) for name, size, n in sums],
+        [(name, size, aims[name], *_epochs(aims[name], size), max(1, n // CELL_ROWS, 2 * math.isqrt(n))) for name, size, n in sums],
         "name string, source_size long, target double, epochs int, rest double, cells long",
     )
     same = F.col("source").eqNullSafe(F.col("name"))
