@@ -43,6 +43,8 @@ MIN_DOCS = 3
 #: Shorter lines are equal if the tree's path is.
 SHORTEST = LEADING + 1
 BLOCK = 1024
+#: In how many parts the lines of a leaf meet what is known of the leaf.
+SALTS = 64
 #: Up to so many templates are compared one and all; beyond, those that a segment finds.
 SCANNED = 64
 
@@ -186,19 +188,28 @@ def _grown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(run)
 
 
+def _marked(coded: DataFrame) -> DataFrame:
+    """coded with large: whether its leaf has more than BLOCK different lines. Lines meet their leaf's
+    mark by leaf and salt, so that the lines of one leaf are spread over SALTS tasks."""
+    many = coded.groupBy("leaf").agg(F.count("*").alias("n")).filter(F.col("n") > BLOCK)
+    many = many.select("leaf", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.lit(True).alias("large"))
+    salted = coded.withColumn("salt", F.pmod("masked", F.lit(SALTS)).cast("int"))
+    return salted.join(many, ["leaf", "salt"], "left").select(*coded.columns, F.coalesce("large", F.lit(False)).alias("large"))
+
+
 def _grouped(coded: DataFrame) -> DataFrame:
     """coded with block: lines of a leaf in different blocks share no template. Of large leaves,
     lines that have no segment in common with another go."""
-    many = coded.groupBy("leaf").agg(F.count("*").alias("n")).filter(F.col("n") > BLOCK).select("leaf")
-    keyed = materialise(coded.join(many, "leaf", "left_semi").mapInArrow(_segmented, "masked long, segment long"))
-    small = coded.withColumn("block", F.lit(0).cast("long"))
+    marked = materialise(_marked(coded))
+    large, small = (marked.filter(x).drop("large") for x in ("large", "not large"))
+    small = small.withColumn("block", F.lit(0).cast("long"))
+    keyed = materialise(large.mapInArrow(_segmented, "masked long, segment long"))
     if keyed.isEmpty():
         return small
     least = keyed.groupBy("segment").agg(F.min("masked").alias("v"))
     edges = keyed.join(least, "segment").select(F.col("masked").alias("u"), "v").filter("u <> v").distinct()
     part = components(edges).select(F.col("node").alias("masked"), F.col("root").alias("block"))
-    large = coded.join(many, "leaf", "left_semi").join(part, "masked").select(*small.columns)
-    return small.join(many, "leaf", "left_anti").select(*small.columns).union(large)
+    return small.union(large.join(part, "masked").select(*small.columns))
 
 
 def generalised(keyed: DataFrame, hashed: DataFrame) -> DataFrame:
