@@ -552,7 +552,7 @@ def dedup_expand(spark, sf):
     """Equal vectors searched once and expanded after."""
     rows = spark.read.parquet(f"{sf}/part.parquet").select(F.col("p_partkey").alias("vec_id"), F.array(F.col("p_size").cast("double"), F.length("p_brand").cast("double")).alias("embedding"))
     one, members = maintain.deduplicated(rows)
-    found = maintain.expanded(flat.knn(asked(rows), one, K).drop("rank"), members)
+    found = maintain.expanded(flat.knn(asked(rows), one, K).drop("rank"), members, K)
     return topk.top_k(found, K).select("qid", "rank", "vec_id", "distance")
 
 
