@@ -416,7 +416,7 @@ def prune_statistics(spark, sf):
     """All pairs are candidates, and each is measured or skipped by one rule."""
     rows = parts(spark, sf)
     s = trained_index(rows, 7).statistics(asked(rows), K, 16)
-    skipped = sum((F.col(c) for c in ("skip_tri", "skip_tri_large", "skip_l2", "skip_ip")), F.lit(0))
+    skipped = sum((F.col(c) for c in ("skip_tri", "skip_tri_large", "skip_l2", "skip_ip", "skip_cells")), F.lit(0))
     return s.select("total", (F.col("computed") + skipped == F.col("total")).alias("adds_up"), (F.col("pruning_speedup") > 1).alias("prunes"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tessera.functions import kernels
 from tessera.functions.kernels import KERNELS, Best, cells
 from tessera.operators import flat, kmeans
+from tessera.operators.ivf import IvfIndex
 
 
 def _table(spark, x, name="vec_id"):
@@ -54,3 +55,24 @@ def test_flat_search_by_cells(spark):
     draw = np.random.Generator(np.random.PCG64(9))
     x = draw.random(size=(3000, 2)).round(2)
     assert _rows(flat.knn(_table(spark, x[::50], "qid"), _table(spark, x), 10)) == _brute(x[::50], x, 10)
+
+
+@pytest.mark.parametrize("opt", ["OPT_NONE", "OPT_TRIANGLE", "OPT_TRI_SUBNN_L2", "OPT_SUBNN_IP", "OPT_TRI_SUBNN_IP", "OPT_ALL"])
+def test_index_search_by_cells(spark, opt):
+    """Lists of many cells; distances so small that they tie after rounding, where the lesser id counts."""
+    draw = np.random.Generator(np.random.PCG64(10))
+    x = (draw.random(size=(5000, 2)) * [0.05, 0.02]).round(6)
+    x[4000:] = x[draw.integers(0, 300, 1000)]
+    base, queries = _table(spark, x), _table(spark, x[::40], "qid")
+    index = IvfIndex.train(base, 4, opt=opt, params=kmeans.KMeansParams(niter=3)).add(base)
+    assert _rows(index.search(queries, 10, 4)) == _brute(x[::40], x, 10)
+    s = index.statistics(queries, 10, 4).first()
+    assert s["total"] == 125 * 5000 == sum(s[c] for c in ("computed", "skip_tri", "skip_tri_large", "skip_l2", "skip_ip", "skip_cells"))
+    assert s["skip_cells"] > 0
+
+
+def test_tables_of_the_rules_only(spark):
+    base = _table(spark, np.random.Generator(np.random.PCG64(11)).random(size=(200, 2)))
+    made = {opt: set(IvfIndex.train(base, 2, opt=opt, params=kmeans.KMeansParams(niter=1)).add(base).rows.columns) for opt in (3, 5)}
+    assert "near" in made[3] and "cos_near" not in made[3]
+    assert "cos_near" in made[5] and "cos_far" in made[5] and "near" not in made[5]
